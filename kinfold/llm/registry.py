@@ -6,12 +6,18 @@ from kinfold.llm import (
     op1_fingerprints,
     op2_decontamination,
     op4_mixing,
+    op8_substrings,
+    op9_passages,
+    op10_near_duplicates,
 )
 
 MODULES = (
     op1_fingerprints,
     op2_decontamination,
     op4_mixing,
+    op8_substrings,
+    op9_passages,
+    op10_near_duplicates,
 )
 
 
