@@ -6,6 +6,7 @@ from kinfold.llm import (
     op1_fingerprints,
     op2_decontamination,
     op4_mixing,
+    op5_warc,
     op8_substrings,
     op9_passages,
     op10_near_duplicates,
@@ -15,6 +16,7 @@ MODULES = (
     op1_fingerprints,
     op2_decontamination,
     op4_mixing,
+    op5_warc,
     op8_substrings,
     op9_passages,
     op10_near_duplicates,
