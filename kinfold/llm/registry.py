@@ -7,6 +7,7 @@ from kinfold.llm import (
     op2_decontamination,
     op4_mixing,
     op5_warc,
+    op6_quality,
     op8_substrings,
     op9_passages,
     op10_near_duplicates,
@@ -17,6 +18,7 @@ MODULES = (
     op2_decontamination,
     op4_mixing,
     op5_warc,
+    op6_quality,
     op8_substrings,
     op9_passages,
     op10_near_duplicates,
