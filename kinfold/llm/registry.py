@@ -5,9 +5,11 @@ from __future__ import annotations
 from kinfold.llm import (
     op1_fingerprints,
     op2_decontamination,
+    op3_language,
     op4_mixing,
     op5_warc,
     op6_quality,
+    op7_lm_scoring,
     op8_substrings,
     op9_passages,
     op10_near_duplicates,
@@ -16,9 +18,11 @@ from kinfold.llm import (
 MODULES = (
     op1_fingerprints,
     op2_decontamination,
+    op3_language,
     op4_mixing,
     op5_warc,
     op6_quality,
+    op7_lm_scoring,
     op8_substrings,
     op9_passages,
     op10_near_duplicates,
