@@ -37,9 +37,15 @@ def indel(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str, cutoff: float = 0.0) -> float:
-    """The shorter text against every window of the longer one of its length, and shorter ones at the ends. 0 if the
-    longest common subsequence of the whole texts already rules the cutoff out."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    """The shorter text against every window of the longer one of its length, and shorter ones at the ends; of texts of
+    one length, either against the other. 0 if the longest common subsequence of the whole texts already rules the
+    cutoff out."""
+    if len(a) == len(b):
+        return max(_windows(a, b, cutoff), _windows(b, a, cutoff))
+    return _windows(a, b, cutoff) if len(a) < len(b) else _windows(b, a, cutoff)
+
+
+def _windows(short: str, long: str, cutoff: float) -> float:
     n = len(short)
     if not n:
         return 100.0 if not long else 0.0

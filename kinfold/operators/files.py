@@ -21,7 +21,8 @@ PATHS = 10_000
 
 
 def scan(spark: SparkSession, folder: str, suffixes: Sequence[str] | None = None) -> DataFrame:
-    """path, length, modified of all files below a folder; the contents are not read. Suffixes match in any case."""
+    """path, length, modified of all files below a folder; the contents are not read. Suffixes match in any case. As in
+    every scan of Spark, names that begin with a dot or an underscore are hidden."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     files = files.select("path", "length", F.col("modificationTime").alias("modified"))
     if suffixes:
