@@ -2,13 +2,12 @@
 
 import pytest
 
-from compare import assert_equal
-from conftest import DATA
+from compare import DATA, assert_equal
+
 from kinfold.plans import registry
 
 ORACLE = registry.oracle_sql()
 
-
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(name, spark, oracle):
     df = registry.queries()[name](spark, f"{DATA}/sf0.001")
@@ -17,7 +16,6 @@ def test_query(name, spark, oracle):
     else:
         assert df.count() >= 0
 
-
 def test_entry(spark):
     import __spark_entry__
 
