@@ -6,10 +6,12 @@ give all coordinates. Bands of coordinates name the buckets in which candidates
 
 Documents with equal shingle sets are one class (a link of similarity 1 needs no search); candidates are sought
 between classes. Within a bucket no pairs are listed: first every member is compared with the bucket's smallest one
-(a star), verified on the full sets, and components are taken. Only where a bucket still holds several components
-are the members outside its largest component compared with the members of the others; then no two members of a
-bucket are left that could join components and have not been compared. Pairs whose set sizes alone rule out the
-similarity are dropped before. Links are confirmed on whole shingle sets, made again from the whole texts.
+(a star), verified on the full sets, and components are taken. Buckets that still hold several components are joined
+into families; a family is dealt in cells of two of its parts to tasks, which compare members of different components
+there: a pair whose signatures agree in fewer coordinates than a linked pair's would (by six standard deviations) is
+passed over, the others are verified on the full sets until they are joined. Tasks return only links that join
+components, at most one a member, so nothing is listed by pairs; pairs whose set sizes alone rule out the similarity
+are dropped before. Links are confirmed on whole shingle sets, made again from the whole texts.
 
 With 32 bands of 4 coordinates a pair of similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 < 5e-8.
 
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import _kernel as K
@@ -154,6 +156,91 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return rows.mapInArrow(_compare(size, percent), "a long, b long")
 
 
+def _cells(size: int, percent: int, coordinates: int):
+    """Sorted rows (family, i, j, part, doc_id, component, text): parts i and j of a family -> links (a, b) that join
+    different components."""
+    share = percent / 100.0
+    least = share * coordinates - 6.0 * (share * (1 - share) * coordinates) ** 0.5
+
+    def joined(rows: list[tuple]) -> list[tuple[int, int]]:
+        part, ids, comp = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sets = [r[3] for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        if comp.min() == comp.max():
+            return []
+        sketch = signatures(sets, coordinates)
+        low, high = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+        a, b, agree = [], [], []
+        for at in range(0, len(low), 32):
+            x = low[at : at + 32]
+            same = (sketch[x][:, None, :] == sketch[high][None]).sum(2)
+            fits = 100 * np.minimum(sizes[x][:, None], sizes[high]) >= percent * np.maximum(sizes[x][:, None], sizes[high])
+            p, q = np.nonzero((same >= least) & fits & (comp[x][:, None] != comp[high]))
+            a.append(x[p])
+            b.append(high[q])
+            agree.append(same[p, q])
+        a, b, agree = np.concatenate(a), np.concatenate(b), np.concatenate(agree)
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        links = []
+        for k in np.argsort(-agree, kind="stable").tolist():
+            x, y = int(a[k]), int(b[k])
+            u, v = find(int(comp[x])), find(int(comp[y]))
+            if u != v:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                    root[max(u, v)] = min(u, v)
+                    links.append((int(ids[x]), int(ids[y])))
+        return links
+
+    def run(batches):
+        cell, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            part, ids, comp = (batch.column(i).to_pylist() for i in range(3, 6))
+            links = []
+            for at, sets in shingle_sets(batch.column(6), size):
+                for i, s in enumerate(sets, at):
+                    if keys[i] != cell:
+                        links += joined(held) if held else []
+                        cell, held = keys[i], []
+                    held.append((part[i], ids[i], comp[i], s))
+            yield _links(links)
+        yield _links(joined(held) if held else [])
+
+    return run
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+#: Members of one part of a family.
+FAMILY_PART = 512
+
+
+def joining(split: DataFrame, texts: DataFrame, size: int, percent: int, coordinates: int) -> DataFrame:
+    """Links that join components among the members of split(bucket, doc_id, component), buckets of several components."""
+    heads = split.groupBy("bucket").agg(F.min("doc_id").alias("a"))
+    met = split.join(heads, "bucket").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    families = components(split.select(F.col("doc_id").alias("id")).distinct(), met).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    own = stored(split.select("doc_id", "component").distinct().join(families, "doc_id"), "families")
+    parts = own.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_PART).cast("int").alias("k"))
+    own = own.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = cells.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component")
+    rows = cells.join(texts, "doc_id").select("family", "i", "j", "part", "doc_id", "component", "text")
+    n = int(split.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return rows.mapInArrow(_cells(size, percent, coordinates), "a long, b long")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes(id), links(a, b) -> (id, component): the smallest id that can be reached. Smallest labels spread along
     links and along the labels' own labels, so the rounds grow with the logarithm of a component's width."""
@@ -189,15 +276,10 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     links = stored(confirmed(star, texts, size, percent), "star-links")
     nodes = classes.select("id")
     labels = stored(components(nodes, links), "components")
-    # Buckets with several components left: all of their members that are not in the largest one meet the others.
-    placed = met.select("bucket", "doc_id", "n").join(labels.withColumnRenamed("id", "doc_id"), "doc_id")
-    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    split = stored(placed.join(largest, "bucket"), "split")
-    outer = split.where("component != largest").select("bucket", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("component").alias("of"))
-    pairs = split.join(outer, "bucket").where((F.col("component") != F.col("of")) & fits).select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
-    pairs = stored(pairs.join(star, ["a", "b"], "left_anti"), "cross")
-    links = links.unionByName(stored(confirmed(pairs, texts, size, percent), "cross-links"))
+    placed = met.select("bucket", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("bucket")
+    split = stored(placed.join(several, "bucket").select("bucket", "doc_id", "component"), "split")
+    links = links.unionByName(stored(joining(split, texts, size, percent, bands * band), "joining-links"))
     labels = components(nodes, links).withColumnRenamed("id", "class_id")
     member = full.join(classes.select("set_hi", "set_lo", F.col("id").alias("class_id")), ["set_hi", "set_lo"]).join(labels, "class_id")
     out = sketch.join(member.select(F.col("doc_id").alias("d"), "component"), F.col("doc_id") == F.col("d"), "left")
