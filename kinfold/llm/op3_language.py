@@ -1,9 +1,9 @@
 """Language identification by a linear-chain conditional random field over the words of a text.
 
-Every word is labelled with a language. Its features (hashed) are its affixes, its byte n-grams, whether it is a
-frequent word of one language only (a lexicon learned from the training texts) and its shape; weights of features and
-of transitions between neighbouring words are learned together by maximising the likelihood of the training labels,
-with forward-backward for the gradient. A prediction runs forward-backward over the whole text and adds up the words'
+Every word is labelled with a language. Its features (hashed) are its affixes, its byte n-grams, its length and its
+place in a lexicon, learned from the training texts, of words that are frequent in one language only; weights of
+features and of transitions between neighbouring words are learned together by maximising the likelihood of the
+training labels, with forward-backward for the gradient. A prediction runs forward-backward over the whole text and adds up the words'
 posteriors: the language with most of them is the text's, its share is the score; words() returns the labels of
 code-switched text word by word.
 
@@ -37,6 +37,8 @@ LEXICON = 300
 ROUNDS, RATE, PENALTY = 30, 0.5, 1e-4
 #: Words whose features a task remembers at once.
 REMEMBERED = 400_000
+#: Documents whose chains run together.
+SLICE = 2048
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -45,22 +47,29 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word."""
-    data = f"^{word}$".encode()
-    found = [("w", word), ("s", len(word) if len(word) < 12 else 12), ("l", lexicon.get(word, -1))]
-    found += [("p", word[:k]) for k in (1, 2, 3)] + [("e", word[-k:]) for k in (1, 2, 3)]
-    found += [("g", data[i : i + n]) for n in (2, 3) for i in range(min(len(data) - n + 1, 24))]
-    return [_hash(x) for x in found]
-
-
-def _hash(feature: tuple) -> int:
-    kind, value = feature
-    raw = value if isinstance(value, bytes) else str(value).encode()
-    h = 1469598103934665603 ^ ord(kind)
-    for b in raw:
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return (h ^ h >> 29) % DIMENSIONS
+def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed features, number of each one's word) of all words at once, by words in order: the word, its length, its
+    language in the lexicon, its affixes of 1 to 4 bytes and its n-grams of 2 and 3 bytes, with marks at both ends."""
+    data = [f"^{w}$".encode() for w in words]
+    size = np.array([len(d) for d in data])
+    buf = np.frombuffer(b"".join(data), np.uint8)
+    end = np.cumsum(size)
+    start = end - size
+    sums, numbers = K.running(buf), np.arange(len(words))
+    found = [
+        (K.name(sums, start, end), numbers),
+        (np.minimum(size, 14).astype(np.uint64), numbers),
+        (np.array([lexicon.get(w, -1) + 1 for w in words], np.uint64), numbers),
+    ]
+    for k in range(1, 5):
+        found += [(K.name(sums, start, np.minimum(start + 1 + k, end)), numbers), (K.name(sums, np.maximum(end - 1 - k, start), end), numbers)]
+    for n in (2, 3):
+        count = np.maximum(size - n + 1, 0)
+        found.append((K.names_of_length(sums, n)[K.spread(start, count)], np.repeat(numbers, count)))
+    names = np.concatenate([K.mix(x ^ np.uint64(1 + i)) for i, (x, _) in enumerate(found)])
+    owner = np.concatenate([o for _, o in found])
+    order = np.argsort(owner, kind="stable")
+    return (names[order] % np.uint64(DIMENSIONS)).astype(np.int64), owner[order]
 
 
 class Model:
@@ -80,21 +89,27 @@ class Model:
         self.__dict__.update(state)
         self.known, self.scores = {}, np.zeros((1024, len(self.languages)), np.float32)
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        """Scores (word, language); each distinct word is worked out once while it is remembered."""
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of words, under which their scores are kept; each distinct word is worked out once while it is
+        remembered."""
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        ids = []
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                i = known[w] = len(known)
-                if i >= len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[i] = self.weights[word_features(w, self.lexicon)].sum(0)
-            ids.append(i)
-        return self.scores[ids].astype(np.float64)
+        ids = list(map(known.get, words))
+        if None in ids:
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            while first + len(new) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            features, owner = word_features(new, self.lexicon)
+            starts = np.searchsorted(owner, np.arange(len(new)))
+            self.scores[first : first + len(new)] = np.add.reduceat(self.weights[features], starts)
+            ids = list(map(known.get, words))
+        return np.array(ids, np.int32)
+
+    def forget(self) -> None:
+        """Before a batch, if too many words are remembered; numbers given out before are void then."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
 
 
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +159,7 @@ def learn(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
         lexicon |= {w: i for _, w in own}
     model = Model(languages, lexicon)
     kinds = {w: i for i, w in enumerate(counts)}
-    features = [word_features(w, lexicon) for w in kinds]
-    flat = np.concatenate([np.array(f) for f in features])
-    owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    flat, owner = word_features(list(kinds), lexicon)
     listed.sort(key=lambda x: -len(x[0]))
     lengths = np.array([len(w) for w, _ in listed])
     ids = np.zeros((len(listed), lengths[0]), np.int64)
@@ -159,16 +172,16 @@ def learn(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
     wanted = np.zeros_like(model.transitions)
     np.add.at(wanted, (gold, gold), lengths - 1.0)
     for _ in range(rounds):
-        scores = np.zeros((len(features), len(languages)))
+        scores = np.zeros((len(kinds), len(languages)))
         for j in range(len(languages)):
-            scores[:, j] = np.bincount(owner, weights[flat, j], len(features))
+            scores[:, j] = np.bincount(owner, weights[flat, j], len(kinds))
         post, expected = forward_backward(scores[ids], lengths, model.transitions)
         error = -post
         error[np.arange(len(gold)), :, gold] += 1
         error *= inside[:, :, None]
         slope = np.zeros_like(weights)
         for j in range(len(languages)):
-            by_kind = np.bincount(ids.ravel(), error[:, :, j].ravel(), len(features))
+            by_kind = np.bincount(ids.ravel(), error[:, :, j].ravel(), len(kinds))
             slope[:, j] = np.bincount(flat, by_kind[owner], DIMENSIONS)
         slope = slope / total - PENALTY * weights
         seen += slope**2
@@ -180,20 +193,19 @@ def learn(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
     return model
 
 
-def posteriors(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
-    """Posteriors (word, language) of each text. Texts of like length run together."""
+def posteriors(model: Model, texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Posteriors (word, language) of each text, given as numbers of its words. Texts of like length run together."""
     out: list[np.ndarray] = [np.zeros((0, len(model.languages)))] * len(texts)
-    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
+    order = sorted((i for i, t in enumerate(texts) if len(t)), key=lambda i: -len(texts[i]))
     at = 0
     while at < len(order):
         longest, to = len(texts[order[at]]), at + 1
-        while to < len(order) and 2 * len(texts[order[to]]) >= longest and (to - at + 1) * longest <= 1 << 18:
+        while to < len(order) and 2 * len(texts[order[to]]) >= longest and (to - at + 1) * longest <= 1 << 19:
             to += 1
         group = order[at:to]
         lengths = np.array([len(texts[i]) for i in group])
-        padded = np.zeros((len(group), longest, len(model.languages)))
-        flat = model.emissions([w for i in group for w in texts[i]])
-        padded[np.arange(longest)[None, :] < lengths[:, None]] = flat
+        padded = np.zeros((len(group), longest, len(model.languages)), np.float32)
+        padded[np.arange(longest)[None, :] < lengths[:, None]] = model.scores[np.concatenate([texts[i] for i in group])]
         post = _posteriors_only(padded, lengths, model.transitions)
         for row, i, n in zip(post, group, lengths.tolist(), strict=True):
             out[i] = row[:n]
@@ -204,8 +216,8 @@ def posteriors(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
 def _posteriors_only(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     n, steps, _ = emissions.shape
     emit = np.exp(emissions - emissions.max(2, keepdims=True)).transpose(1, 0, 2).copy()
-    move = np.exp(transitions - transitions.max())
-    live = np.searchsorted(-lengths, -np.arange(steps), "left")
+    move = np.exp(transitions - transitions.max()).astype(emit.dtype)
+    live = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
     ahead = np.zeros_like(emit)
     a = emit[0] / emit[0].sum(1, keepdims=True)
     ahead[0] = a
@@ -221,14 +233,14 @@ def _posteriors_only(emissions: np.ndarray, lengths: np.ndarray, transitions: np
         c = (b[:m] * emit[t + 1, :m]) @ move.T
         b[:m] = c / c.sum(1)[:, None]
         ahead[t, : live[t]] *= b[: live[t]]
-    ahead /= np.maximum(ahead.sum(2, keepdims=True), 1e-300)
+    ahead /= np.maximum(ahead.sum(2, keepdims=True), 1e-30)
     return ahead.transpose(1, 0, 2)
 
 
 def words(model: Model, text: str) -> list[tuple[str, str, float]]:
     """(word, language, posterior) of each word of a text."""
     found = tokens(text)
-    post = posteriors(model, [found])[0]
+    post = posteriors(model, [model.numbers(found)])[0]
     return [(w, model.languages[p.argmax()], float(p.max())) for w, p in zip(found, post, strict=True)]
 
 
@@ -237,15 +249,21 @@ def _predict(model: Model | None):
         for batch in batches:
             ids = batch.column(0)
             texts = batch.column(1)
-            for at in range(0, len(ids), 512):
-                found = [tokens(t) if t else [] for t in texts.slice(at, 512).to_pylist()]
-                langs, scores = ["und"] * len(found), [0.0] * len(found)
+            for at in range(0, len(ids), SLICE):
+                part = texts.slice(at, SLICE)
+                langs, scores = ["und"] * len(part), [0.0] * len(part)
                 if model is not None:
+                    model.forget()
+                    found = []
+                    for i in range(0, len(part), 64):  # new words of several documents are worked out together
+                        lists = [tokens(t.as_py() or "") for t in part.slice(i, 64)]
+                        flat = model.numbers([w for own in lists for w in own])
+                        found += np.split(flat, np.cumsum([len(x) for x in lists])[:-1])
                     for i, post in enumerate(posteriors(model, found)):
                         if len(post):
-                            mean = post.mean(0)
+                            mean = post.mean(0, dtype=np.float64)
                             langs[i], scores[i] = model.languages[int(mean.argmax())], float(min(1.0, max(0.0, mean.max())))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, SLICE), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
