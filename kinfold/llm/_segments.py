@@ -88,7 +88,7 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by the keys (the first is the most significant) and the starts of runs of equal first keys."""
     order = np.lexsort(keys[::-1])
     lead = keys[0][order]
-    return order, np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
+    return order, np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]])[: len(lead)])
 
 
 def _first_of(names: np.ndarray, docs: np.ndarray, positions: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +126,8 @@ ASKED = ("i8", "u8", "i4", "i4")
 def _cut(cutter: Callable, shards: int, across: bool):
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         key, content, doc, pos, n = (np.concatenate([h[i] for h in held]) for i in range(5))
+        if not len(key):  # rows without an id alone
+            return
         kept, covered = _first_of(content, doc, pos, across)
         shard = (key[kept] >> np.uint64(33)) % np.uint64(shards)
         order = kept[np.argsort(shard, kind="stable")]
