@@ -1,14 +1,13 @@
-"""Table access, lineage cuts and size checks shared by the operators of this subpackage."""
+"""Table access and size checks shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.operators.storage import fresh_path, shared_folder, stored
+
+__all__ = ["broadcast_if_small", "fresh_path", "partitions", "shared_folder", "stored", "table", "text_or_empty"]
 #: A side of a join is broadcast only if it was counted and has at most so many rows of bounded width.
 BROADCAST_ROWS = 200_000
 
@@ -17,27 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.lru_cache(maxsize=8)
-def _own_folder(app_id: str) -> str:
-    return tempfile.mkdtemp(prefix="kinfold-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local temporary folder only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + _own_folder(spark.sparkContext.applicationId)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/kinfold/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint on df only if it has been counted and has at most `rows` rows; else Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

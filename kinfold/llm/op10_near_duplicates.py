@@ -16,8 +16,8 @@ are dropped before. Links are confirmed on whole shingle sets, made again from t
 With 32 bands of 4 coordinates a pair of similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 < 5e-8.
 
 Defined cases: null or wordless texts have no shingles, are linked with nothing and are kept; texts of fewer words
-than a shingle have one shingle, the whole sequence; repeated rows are one class, and rows of one doc_id count as one
-document (that with the greatest text); a null doc_id is never the smallest of a class unless alone.
+than a shingle have one shingle, the whole sequence; rows of one doc_id are one document (that with the greatest text);
+rows without an id are kept and linked with nothing; an empty table gives an empty result; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import _kernel as K
 from kinfold.llm._base import stored, table
+from kinfold.llm._segments import one_row_an_id
+from kinfold.operators.components import components as linked_components
 
 NAME = "op10_near_duplicates"
 WORDS, PERCENT = 4, 80
@@ -242,28 +244,14 @@ def joining(split: DataFrame, texts: DataFrame, size: int, percent: int, coordin
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes(id), links(a, b) -> (id, component): the smallest id that can be reached. Smallest labels spread along
-    links and along the labels' own labels, so the rounds grow with the logarithm of a component's width."""
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    touched = both.select(F.col("a").alias("id")).distinct()
-    labels = stored(touched.withColumn("component", F.col("id")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        # A label is itself a node: take over the label that it has now.
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = stored(step.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        labels = step.select("id", "component")
-        if step.where("component < was").isEmpty():
-            break
-    return nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    """nodes(id), links(a, b) -> (id, component): the smallest id that can be reached."""
+    return nodes.join(linked_components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, band: int = BAND) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept; a row per distinct doc_id."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept; a row per distinct doc_id and per row without one."""
+    docs = one_row_an_id(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     sketch = stored(docs.mapInArrow(_sketch(size), "doc_id long, n_shingles long, set_hi long, set_lo long"), "sketches")
-    sketch = sketch.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_hi", "set_lo")).alias("s")).select("doc_id", "s.*")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles")), "classes")
     texts = docs.join(classes.select(F.col("id").alias("doc_id"), "n_shingles"), "doc_id")
