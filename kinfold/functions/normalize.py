@@ -6,6 +6,7 @@ and that a plan for known ASCII columns leaves out (unicode=False).
 
 from __future__ import annotations
 
+import datetime
 import unicodedata
 from collections.abc import Callable, Mapping
 
@@ -61,11 +62,29 @@ def text_aggressive(c: Column, unicode: bool = True) -> Column:
     return stripped(F.regexp_replace(F.regexp_replace(text(c, unicode), r"[^\p{L}\p{N}_\s]", " "), r"(?U)\s+", " "))
 
 
-def date(c: Column, unicode: bool = True) -> Column:
-    """ISO date by the first pattern that fits; empty if none does. A value with a part missing fits none."""
+@F.pandas_udf(T.StringType())
+def _fuzzy_date(values: pd.Series) -> pd.Series:
+    from dateutil import parser
+
+    def find(value: str) -> str | None:
+        try:
+            # A part that is missing is taken from the default: dates that depend on it are none.
+            a, b = (parser.parse(value, fuzzy=True, default=datetime.datetime(y, m, d)) for y, m, d in ((1904, 1, 1), (2004, 12, 31)))
+        except (ValueError, OverflowError):
+            return None
+        return a.strftime("%Y-%m-%d") if a.date() == b.date() else None
+
+    return values.map(find, na_action="ignore")
+
+
+def date(c: Column, unicode: bool = True, fuzzy: bool = False) -> Column:
+    """ISO date by the first pattern that fits; empty if none does. A value with a part missing fits none. fuzzy: what
+    fits no pattern is searched for a date among other words, outside the JVM."""
     value = stripped(c)
-    found = F.coalesce(*[F.try_to_timestamp(value, F.lit(p)) for p in DATE_PATTERNS])
-    return F.coalesce(F.date_format(found, "yyyy-MM-dd"), F.lit(""))
+    found = F.date_format(F.coalesce(*[F.try_to_timestamp(value, F.lit(p)) for p in DATE_PATTERNS]), "yyyy-MM-dd")
+    if fuzzy:
+        found = F.coalesce(found, _fuzzy_date(F.when(found.isNull() & (value != ""), value)))
+    return F.coalesce(found, F.lit(""))
 
 
 def numeric(c: Column, unicode: bool = True, strict: bool = False) -> Column:

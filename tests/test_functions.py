@@ -28,6 +28,12 @@ def test_normalizer(kind, spark):
         assert r["got"] == want, r["raw"]
 
 
+def test_fuzzy_dates(spark):
+    df = spark.createDataFrame([("due on 15 March 2023, noon",), ("May",), ("2023-01-15",), ("nothing",), (None,)], "raw string")
+    got = [r[0] for r in df.select(N.date(F.col("raw"), fuzzy=True)).collect()]
+    assert got == ["2023-03-15", "", "2023-01-15", "", ""]
+
+
 def test_strict_numeric(spark):
     assert spark.range(1).select(N.numeric(F.lit(".5"), strict=True)).first()[0] == ".5"
 
