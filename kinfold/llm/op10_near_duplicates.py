@@ -230,8 +230,13 @@ FAMILY_PART = 512
 def joining(split: DataFrame, texts: DataFrame, size: int, percent: int, coordinates: int) -> DataFrame:
     """Links that join components among the members of split(bucket, doc_id, component), buckets of several components."""
     heads = split.groupBy("bucket").agg(F.min("doc_id").alias("a"))
-    met = split.join(heads, "bucket").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    families = components(split.select(F.col("doc_id").alias("id")).distinct(), met).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    met = stored(split.join(heads, "bucket").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "met")
+    # A member stands for its smallest head from here on, so that few different links are left to spread labels along.
+    firsts = stored(met.groupBy("b").agg(F.min("a").alias("first")), "firsts")
+    short = met.join(firsts, "b").join(firsts.select(F.col("b").alias("a"), F.col("first").alias("of")), "a", "left")
+    short = short.select(F.coalesce("of", "a").alias("a"), F.col("first").alias("b")).where("a != b").distinct()
+    heard = split.select("doc_id").distinct().join(firsts.withColumnRenamed("b", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("id"))
+    families = heard.join(linked_components(short), "id", "left").select("doc_id", F.coalesce("component", "id").alias("family"))
     own = stored(split.select("doc_id", "component").distinct().join(families, "doc_id"), "families")
     parts = own.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_PART).cast("int").alias("k"))
     own = own.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
