@@ -8,7 +8,9 @@ posteriors: the language with most of them is the text's, its share is the score
 code-switched text word by word.
 
 Training uses a bounded sample of documents, SAMPLE of each language at most, in the order of a hash of the doc_id,
-and the first TRAIN_WORDS words of each; predictions use whole texts.
+and the first TRAIN_WORDS words of each; predictions use whole texts. Every language of the training rows that have a
+doc_id is a class; texts and words run in groups of so many cells (CELLS), so that arrays don't grow with the number of
+languages, but the work of a step grows with its square.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the language that comes first
 in order of code points; repeated rows are rows of their own; with no training text all are `und`; empty documents
@@ -21,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import _kernel as K
@@ -31,14 +33,17 @@ NAME = "op3_language"
 ORACLE_SQL = None
 #: Bound of the training sample: documents of each language, words of each of these.
 SAMPLE, TRAIN_WORDS = 300, 120
-LANGUAGES = 64
 DIMENSIONS = 1 << 15
 LEXICON = 300
 ROUNDS, RATE, PENALTY = 30, 0.5, 1e-4
 #: Words whose features a task remembers at once.
 REMEMBERED = 400_000
-#: Documents whose chains run together.
+#: Documents whose chains run together; both numbers are less for many languages.
 SLICE = 2048
+#: Numbers (words times languages) of an array that chains or new words are worked out in.
+CELLS = 1 << 21
+#: Parts of a language's rows that are ordered on their own before the sample is taken from the firsts of all parts.
+PARTS = 16
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -100,15 +105,18 @@ class Model:
             known.update(zip(new, range(first, first + len(new)), strict=True))
             while first + len(new) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            features, owner = word_features(new, self.lexicon)
-            starts = np.searchsorted(owner, np.arange(len(new)))
-            self.scores[first : first + len(new)] = np.add.reduceat(self.weights[features], starts)
+            step = max(64, CELLS // 4 // len(self.languages))
+            for at in range(0, len(new), step):
+                part = new[at : at + step]
+                features, owner = word_features(part, self.lexicon)
+                starts = np.searchsorted(owner, np.arange(len(part)))
+                self.scores[first + at : first + at + len(part)] = np.add.reduceat(self.weights[features], starts)
             ids = list(map(known.get, words))
         return np.array(ids, np.int32)
 
     def forget(self) -> None:
         """Before a batch, if too many words are remembered; numbers given out before are void then."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED // max(1, len(self.languages) // 4):
             self.known.clear()
 
 
@@ -137,52 +145,70 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
     expected = np.zeros((k, k))
     for t in range(1, steps):
         m = live[t]
-        joint = ahead[:m, t - 1, :, None] * move[None] * (emit[:m, t] * back[:m, t])[:, None, :]
-        expected += (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+        a, b = ahead[:m, t - 1], emit[:m, t] * back[:m, t]
+        total = ((a @ move) * b).sum(1, keepdims=True)
+        expected += move * ((a / np.maximum(total, 1e-300)).T @ b)
     return post, expected
 
 
+def _groups(listed: list, lengths: np.ndarray, gold: np.ndarray, lexicon: dict[str, int]) -> list[tuple]:
+    """Texts, longest first, in groups of bounded cells: (padded numbers of words within the group, lengths, languages,
+    hashed features, the word of each)."""
+    out, at, languages = [], 0, int(gold.max()) + 1
+    while at < len(listed):
+        to = at + max(1, CELLS // (int(lengths[at]) * languages))
+        kinds: dict[str, int] = {}
+        long = lengths[at:to]
+        inside = np.arange(long[0])[None, :] < long[:, None]
+        ids = np.zeros(inside.shape, np.int64)
+        ids[inside] = [kinds.setdefault(w, len(kinds)) for words, _ in listed[at:to] for w in words]
+        flat, owner = word_features(list(kinds), lexicon)
+        out.append((ids, long, gold[at:to], flat, owner))
+        at = to
+    return out
+
+
 def learn(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
     """Model of (text, language) pairs: gradient ascent (AdaGrad) on the labels' likelihood."""
     listed = [(w, lang) for text, lang in texts if (w := tokens(text)[:TRAIN_WORDS])]
     languages = sorted({lang for _, lang in listed})
     if not languages:
         return None
-    counts: dict[str, np.ndarray] = {}
-    for words, lang in listed:
-        for w in words:
-            counts.setdefault(w, np.zeros(len(languages)))[languages.index(lang)] += 1
-    lexicon = {}
-    for i in range(len(languages)):
-        # Frequent words of one language that are rare in the others.
-        own = sorted(((c[i], w) for w, c in counts.items() if c[i] >= 5 and c[i] > 0.9 * c.sum()), reverse=True)[:LEXICON]
-        lexicon |= {w: i for _, w in own}
-    model = Model(languages, lexicon)
-    kinds = {w: i for i, w in enumerate(counts)}
-    flat, owner = word_features(list(kinds), lexicon)
+    number = {lang: i for i, lang in enumerate(languages)}
     listed.sort(key=lambda x: -len(x[0]))
     lengths = np.array([len(w) for w, _ in listed])
-    ids = np.zeros((len(listed), lengths[0]), np.int64)
-    gold = np.array([languages.index(lang) for _, lang in listed])
-    for row, (words, _) in zip(ids, listed, strict=True):
-        row[: len(words)] = [kinds[w] for w in words]
-    inside = np.arange(lengths[0])[None, :] < lengths[:, None]
-    weights, total = np.zeros((DIMENSIONS, len(languages))), inside.sum()
+    gold = np.array([number[lang] for _, lang in listed])
+    kinds: dict[str, int] = {}
+    flat_ids = np.array([kinds.setdefault(w, len(kinds)) for words, _ in listed for w in words])
+    names, all_of = list(kinds), np.bincount(flat_ids)
+    pairs, count = np.unique(flat_ids * len(languages) + np.repeat(gold, lengths), return_counts=True)
+    # Frequent words of one language that are rare in the others.
+    own: list[list[tuple[int, str]]] = [[] for _ in languages]
+    for pair, n in zip(pairs.tolist(), count.tolist(), strict=True):
+        if n >= 5 and n > 0.9 * all_of[pair // len(languages)]:
+            own[pair % len(languages)].append((n, names[pair // len(languages)]))
+    lexicon = {w: i for i, found in enumerate(own) for _, w in sorted(found, reverse=True)[:LEXICON]}
+    model = Model(languages, lexicon)
+    groups = _groups(listed, lengths, gold, lexicon)
+    weights, total = np.zeros((DIMENSIONS, len(languages))), lengths.sum()
     seen, moved = np.full_like(weights, 1e-8), np.full_like(model.transitions, 1e-8)
     wanted = np.zeros_like(model.transitions)
     np.add.at(wanted, (gold, gold), lengths - 1.0)
     for _ in range(rounds):
-        scores = np.zeros((len(kinds), len(languages)))
-        for j in range(len(languages)):
-            scores[:, j] = np.bincount(owner, weights[flat, j], len(kinds))
-        post, expected = forward_backward(scores[ids], lengths, model.transitions)
-        error = -post
-        error[np.arange(len(gold)), :, gold] += 1
-        error *= inside[:, :, None]
-        slope = np.zeros_like(weights)
-        for j in range(len(languages)):
-            by_kind = np.bincount(ids.ravel(), error[:, :, j].ravel(), len(kinds))
-            slope[:, j] = np.bincount(flat, by_kind[owner], DIMENSIONS)
+        slope, expected = np.zeros_like(weights), np.zeros_like(wanted)
+        for ids, long, right, flat, owner in groups:
+            n = int(owner[-1]) + 1
+            scores = np.zeros((n, len(languages)))
+            for j in range(len(languages)):
+                scores[:, j] = np.bincount(owner, weights[flat, j], n)
+            post, moves = forward_backward(scores[ids], long, model.transitions)
+            expected += moves
+            error = -post
+            error[np.arange(len(right)), :, right] += 1
+            error *= (np.arange(ids.shape[1])[None, :] < long[:, None])[:, :, None]
+            for j in range(len(languages)):
+                by_kind = np.bincount(ids.ravel(), error[:, :, j].ravel(), n)
+                slope[:, j] += np.bincount(flat, by_kind[owner], DIMENSIONS)
         slope = slope / total - PENALTY * weights
         seen += slope**2
         weights += RATE * slope / np.sqrt(seen)
@@ -200,7 +226,7 @@ def posteriors(model: Model, texts: list[np.ndarray]) -> list[np.ndarray]:
     at = 0
     while at < len(order):
         longest, to = len(texts[order[at]]), at + 1
-        while to < len(order) and 2 * len(texts[order[to]]) >= longest and (to - at + 1) * longest <= 1 << 19:
+        while to < len(order) and 2 * len(texts[order[to]]) >= longest and (to - at + 1) * longest <= CELLS // len(model.languages):
             to += 1
         group = order[at:to]
         lengths = np.array([len(texts[i]) for i in group])
@@ -245,12 +271,14 @@ def words(model: Model, text: str) -> list[tuple[str, str, float]]:
 
 
 def _predict(model: Model | None):
+    size = max(64, SLICE // max(1, len(model.languages) // 16)) if model is not None else SLICE
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             texts = batch.column(1)
-            for at in range(0, len(ids), SLICE):
-                part = texts.slice(at, SLICE)
+            for at in range(0, len(ids), size):
+                part = texts.slice(at, size)
                 langs, scores = ["und"] * len(part), [0.0] * len(part)
                 if model is not None:
                     model.forget()
@@ -263,7 +291,7 @@ def _predict(model: Model | None):
                         if len(post):
                             mean = post.mean(0, dtype=np.float64)
                             langs[i], scores[i] = model.languages[int(mean.argmax())], float(min(1.0, max(0.0, mean.max())))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, SLICE), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, size), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -271,15 +299,12 @@ def _predict(model: Model | None):
 def training_sample(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """(text, lang) of up to `sample` documents of each language: those with the smallest hash of their doc_id. Texts
     are read again only for the chosen ids."""
-    docs = docs.where("lang is not null and text is not null")
-    langs = [r[0] for r in docs.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
-    chosen = []
-    for lang in sorted(langs):
-        own = docs.where(F.col("lang") == lang)
-        chosen += [(r[0], lang) for r in own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    if not chosen:
-        return []
-    picked = docs.where(F.col("doc_id").isin([c[0] for c in chosen if c[0] is not None]))
+    docs = docs.where("doc_id is not null and lang is not null and text is not null")
+    ranked = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    # All languages at once; the first rows of parts of a language, then of the language.
+    for keys in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))).where(F.col("place") <= sample)
+    picked = docs.join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
     # A sample of bounded size, in which only the words that are used are sent.
     rows = picked.select("doc_id", F.substring_index("text", " ", 4 * TRAIN_WORDS).alias("text"), "lang").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]

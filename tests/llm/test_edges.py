@@ -298,3 +298,15 @@ def test_near_duplicates(spark, docs):
     assert op10_near_duplicates.near_duplicates(docs(rows).limit(0)).count() == 0
     odd = {r["doc_id"]: r["component_id"] for r in op10_near_duplicates.near_duplicates(docs([(1, "a b"), (1, "a b"), (2, "A  b"), (None, "a b")])).collect()}
     assert odd == {1: 1, 2: 1, None: None}
+
+
+def test_many_languages(spark, docs):
+    langs = [f"l{i:02}" for i in range(70)]
+    words = {x: ["".join(random.Random(f"{x}{j}").choices("abcdefghijklmnopqrstuvwxyz", k=6)) for j in range(12)] for x in langs}
+    rows = [(10 * i + j, " ".join(random.Random(10 * i + j).choices(words[x], k=20)), "s", x) for i, x in enumerate(langs) for j in range(4 if i < 64 else 3)]
+    table = docs(rows)
+    chosen = op3_language.training_sample(table)
+    assert {lang for _, lang in chosen} == set(langs) and len(chosen) == len(rows)
+    assert len(op3_language.training_sample(table, 2)) == 2 * len(langs)
+    got = {r["doc_id"]: r["lang_pred"] for r in op3_language.identify(table, op3_language.learn(chosen)).collect()}
+    assert sum(got[d] == x for d, _, _, x in rows if x in langs[64:]) == 18
