@@ -8,7 +8,7 @@ posteriors: the language with most of them is the text's, its share is the score
 code-switched text word by word.
 
 Training uses a bounded sample of documents, SAMPLE of each language at most, in the order of a hash of the doc_id,
-and the first TRAIN_WORDS words of each; predictions use whole texts. Every language of the training rows that have a
+and the whole text of each, as chains of PIECE words; predictions use whole texts. Every language of the training rows that have a
 doc_id is a class; texts and words run in groups of so many cells (CELLS), so that arrays don't grow with the number of
 languages, but the work of a step grows with its square.
 
@@ -31,8 +31,8 @@ from kinfold.llm._base import table
 
 NAME = "op3_language"
 ORACLE_SQL = None
-#: Bound of the training sample: documents of each language, words of each of these.
-SAMPLE, TRAIN_WORDS = 300, 120
+#: Bound of the training sample: documents of each language. Words of a chain in training.
+SAMPLE, PIECE = 300, 120
 DIMENSIONS = 1 << 15
 LEXICON = 300
 ROUNDS, RATE, PENALTY = 30, 0.5, 1e-4
@@ -170,7 +170,7 @@ def _groups(listed: list, lengths: np.ndarray, gold: np.ndarray, lexicon: dict[s
 
 def learn(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
     """Model of (text, language) pairs: gradient ascent (AdaGrad) on the labels' likelihood."""
-    listed = [(w, lang) for text, lang in texts if (w := tokens(text)[:TRAIN_WORDS])]
+    listed = [(w[i : i + PIECE], lang) for text, lang in texts for w in [tokens(text)] for i in range(0, len(w), PIECE)]
     languages = sorted({lang for _, lang in listed})
     if not languages:
         return None
@@ -305,8 +305,7 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, st
     for keys in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):
         ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))).where(F.col("place") <= sample)
     picked = docs.join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
-    # A sample of bounded size, in which only the words that are used are sent.
-    rows = picked.select("doc_id", F.substring_index("text", " ", 4 * TRAIN_WORDS).alias("text"), "lang").collect()
+    rows = picked.select("doc_id", F.col("text").cast("string").alias("text"), "lang").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 

@@ -310,3 +310,10 @@ def test_many_languages(spark, docs):
     assert len(op3_language.training_sample(table, 2)) == 2 * len(langs)
     got = {r["doc_id"]: r["lang_pred"] for r in op3_language.identify(table, op3_language.learn(chosen)).collect()}
     assert sum(got[d] == x for d, _, _, x in rows if x in langs[64:]) == 18
+
+
+def test_language_learns_whole_texts(docs):
+    rows = [(i, "same " * 500 + " ".join([late] * 20), "s", lang) for i, (lang, late) in enumerate([("en", "thought"), ("de", "zwischen")] * 10)]
+    model = op3_language.learn(op3_language.training_sample(docs(rows)))
+    got = {r["doc_id"]: r["lang_pred"] for r in op3_language.identify(docs([(1, "thought thought"), (2, "zwischen zwischen")]), model).collect()}
+    assert got == {1: "en", 2: "de"} and {"thought", "zwischen"} <= set(model.lexicon)
