@@ -3,8 +3,9 @@
 Two generative models over hashed features (words, and byte n-grams, which see spelling, markup and case) are counted
 over all documents: the target model over those labelled good, the raw model over every document. A document's
 importance weight is the log ratio of its probability under the two; a sample without replacement in proportion to
-the weights takes the k greatest of weight + Gumbel noise (seeded by doc_id). k is the share of good documents among
-the labelled ones, plus `margin` standard errors, of all documents.
+the weights takes the k greatest of weight + Gumbel noise (seeded by doc_id). k is the number of documents whose weight
+is above a cut: the one that leaves the fewest labelled documents on the wrong side, in the middle of the gap between
+the weights next to it. There a good document has the weight it would have without its own label, as the others have.
 
 Per-feature log ratios are averaged, not summed, and scaled to `scale` features, so that long documents are not told
 apart by their length alone. The counts are vectors of fixed size, summed by blocks of buckets; the k-th greatest key
@@ -12,8 +13,8 @@ is found by counting ever finer bins of the keys, so neither is any list sent to
 whole; ties at the cut go by doc_id.
 
 Defined cases: documents without text have no features: weight 0, and they are ranked like others; labels of null
-count as no label, a document with several labels is good only if all are; without any good label nothing is told
-apart and all are kept; repeated rows are rows of their own; empty documents give an empty result.
+count as no label, a document with several labels is good only if all are; without any good label, or any other,
+nothing is told apart and all are kept; repeated rows are rows of their own; empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ SLICE = 1 << 12
 GRAM = 3
 SEED = 0
 SCALE = 1000.0
-MARGIN = 3.0
+#: Bins of weights between which the cut can be.
+BINS = 1 << 14
 
 
 def features(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -79,39 +81,71 @@ def _add(buckets: int):
     return run
 
 
-def log_ratios(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Log of target over raw probability of each bucket, from docs(text, good). The result has a fixed size."""
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """(target, raw) counts of each bucket, from docs(text, good). The result has a fixed size."""
     parts = docs.select("text", "good").mapInArrow(_count(buckets), "slice int, counts binary")
     summed = parts.groupBy("slice").applyInArrow(_add(buckets), "slice int, counts binary").collect()
     counts = np.zeros((2, buckets), np.float64)
     for row in summed:
         counts[:, row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
-    out = np.zeros(buckets)
-    for half in (slice(0, buckets // 2), slice(buckets // 2, buckets)):
-        target, raw = counts[0, half], counts[1, half]
-        # The raw share of a bucket, as so many features, smooths the target's.
-        prior, total = 20.0, raw.sum()
-        if target.sum() and total:
-            share = (raw + 1) / (total + len(raw))
-            # A feature counts for less if it was seen a few times only.
-            out[half] = np.log((target + prior * share) / (target.sum() + prior)) - np.log(share)
-            out[half] *= raw / (raw + 5.0)
-    return np.clip(out, -6.0, 6.0)
-
-
-def _weigh(ratios: np.ndarray, buckets: int, scale: float):
+    return counts
+
+
+def log_ratios(target: np.ndarray, raw: np.ndarray, size: np.ndarray | float, total: np.ndarray | float, width: int) -> np.ndarray:
+    """Log of target over raw probability of buckets of one half, given their counts, those of the half and its width."""
+    # The raw share of a bucket, as so many features, smooths the target's.
+    prior = 20.0
+    share = (raw + 1) / (total + width)
+    # A feature counts for less if it was seen a few times only.
+    return np.clip((np.log((target + prior * share) / (size + prior)) - np.log(share)) * (raw / (raw + 5.0)), -6.0, 6.0)
+
+
+def _weigh(counts: np.ndarray, buckets: int, scale: float):
+    half = buckets // 2
+    sizes = counts.reshape(2, 2, half).sum(2)  # (target, raw) of words and of n-grams
+    ratios = np.concatenate([log_ratios(*counts[:, i * half : (i + 1) * half], *sizes[:, i], half) if sizes[:, i].all() else np.zeros(half) for i in (0, 1)])
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
+            ids, labels = batch.column(0), batch.column(2)
+            good = labels.fill_null(False).to_numpy(zero_copy_only=False)
             for at, buf, offsets in K.blocks(batch.column(1)):
                 bucket, doc = features(buf, offsets, buckets)
                 n = len(offsets) - 1
-                total, count = np.bincount(doc, ratios[bucket], n), np.bincount(doc, minlength=n)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(scale * total / np.maximum(count, 1))], ["doc_id", "log_weight"])
+                count = np.maximum(np.bincount(doc, minlength=n), 1)
+                weight = np.bincount(doc, ratios[bucket], n) / count
+                # Good documents without their own features in the target.
+                mine = good[at + doc]
+                kinds, times = np.unique(doc[mine] * buckets + bucket[mine], return_counts=True)
+                b, d = kinds % buckets, kinds // buckets
+                side = b // half
+                own = np.bincount(2 * d + side, times, 2 * n)
+                left = sizes[0, side] - own[2 * d + side]
+                alone = np.bincount(d, times * log_ratios(counts[0, b] - times, counts[1, b], left, sizes[1, side], half), n) / count
+                fair = np.where(good[at : at + n], alone, weight)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(scale * weight), labels.slice(at, n), pa.array(scale * fair)], ["doc_id", "log_weight", "good", "fair"])
 
     return run
 
 
+def best_cut(weighed: DataFrame, bins: int = BINS) -> float | None:
+    """The cut of `fair` that leaves the fewest rows of weighed(fair, good) on the wrong side, of several the one in the
+    widest gap; None if all stay. The rows are counted in bins, so the driver gets a bounded number of them."""
+    labelled = weighed.where("good is not null")
+    low, high = labelled.agg(F.min("fair"), F.max("fair")).first()
+    if low is None:
+        return None
+    spot = F.least(F.floor((F.col("fair") - F.lit(low)) / F.lit(max((high - low) / bins, 1e-9))), F.lit(bins - 1))
+    rows = sorted(labelled.groupBy(spot.alias("bin")).agg(F.count_if("good"), F.count_if(~F.col("good")), F.min("fair"), F.max("fair")).collect())
+    good, bad = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    if not good.sum() or not bad.sum():
+        return None
+    wrong = np.cumsum(good) - good + bad[::-1].cumsum()[::-1]  # with the cut below each bin
+    gaps = [0.0, *(b[3] - a[4] for a, b in zip(rows[:-1], rows[1:], strict=True))]
+    i = min(range(len(rows)), key=lambda i: (wrong[i], -gaps[i]))
+    return None if i == 0 else (rows[i - 1][4] + rows[i][3]) / 2
+
+
 def kth_greatest(keys: DataFrame, k: int, column: str, bins: int = 4096) -> tuple[float, int]:
     """(value, how many rows of that value belong to the k greatest) by counting finer and finer bins."""
     low, high = keys.agg(F.min(column), F.max(column)).first()
@@ -141,22 +175,21 @@ def kth_greatest(keys: DataFrame, k: int, column: str, bins: int = 4096) -> tupl
             return value, left - sum(v > value for v in values)
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, scale: float = SCALE, margin: float = MARGIN) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, scale: float = SCALE) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality) -> doc_id, log_weight, gumbel, kept; a row per document."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # Small tables of labels go to every task; larger ones meet the documents in a shuffle.
     joined = docs.join(broadcast_if_small(marks, 1_000_000), "doc_id", "left")
-    ratios = log_ratios(joined, buckets)
-    weights = docs.mapInArrow(_weigh(ratios, buckets, scale), "doc_id long, log_weight double")
+    counts = bucket_counts(joined, buckets)
+    weights = joined.select("doc_id", "text", "good").mapInArrow(_weigh(counts, buckets, scale), "doc_id long, log_weight double, good boolean, fair double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = weights.withColumn("gumbel", -F.log(-F.log(uniform))).withColumn("key", F.col("log_weight") + F.col("gumbel"))
     keyed = stored(keyed, "keys")
+    cut = best_cut(keyed)
     n = keyed.count()
-    labelled, good = docs.join(broadcast_if_small(marks, 1_000_000), "doc_id").agg(F.count(F.lit(1)), F.count_if("good")).first()
-    share = good / labelled if labelled and good else 1.0
-    k = min(n, round(n * (share + margin * (share * (1 - share) / max(labelled, 1)) ** 0.5)))
-    if k >= n:
+    k = n if cut is None else keyed.where(F.col("log_weight") > cut).count()
+    if k >= n or k == 0:
         return keyed.select("doc_id", "log_weight", "gumbel", F.lit(True).alias("kept"))
     value, ties = kth_greatest(keyed, k, "key")
     tied = keyed.where(F.col("key") == value).orderBy(F.col("doc_id").asc_nulls_last()).limit(ties).agg(F.max("doc_id")).first()[0]

@@ -317,3 +317,11 @@ def test_language_learns_whole_texts(docs):
     model = op3_language.learn(op3_language.training_sample(docs(rows)))
     got = {r["doc_id"]: r["lang_pred"] for r in op3_language.identify(docs([(1, "thought thought"), (2, "zwischen zwischen")]), model).collect()}
     assert got == {1: "en", 2: "de"} and {"thought", "zwischen"} <= set(model.lexicon)
+
+
+def test_quality_of_few_labels(spark, docs):
+    rows = [(i, text(60, i)) for i in range(80)] + [(100 + i, " ".join(f"{w.upper()}###" for w in text(60, 500 + i).split())) for i in range(20)]
+    for good, bad in ((40, 10), (12, 2), (8, 8)):
+        labels = spark.createDataFrame([(i, 1) for i in range(good)] + [(100 + i, 0) for i in range(bad)], "doc_id long, quality int")
+        kept = {r["doc_id"] for r in op6_quality.resample(docs(rows), labels).where("kept").collect()}
+        assert kept == set(range(80))
