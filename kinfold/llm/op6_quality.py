@@ -13,7 +13,7 @@ is found by counting ever finer bins of the keys, so neither is any list sent to
 whole; ties at the cut go by doc_id.
 
 Defined cases: documents without text have no features: weight 0, and they are ranked like others; labels of null
-count as no label, a document with several labels is good only if all are; without any good label, or any other,
+count as no label, one of a toxic document is not good whatever its quality, a document with several labels is good only if all are; without any good label, or any other,
 nothing is told apart and all are kept; repeated rows are rows of their own; empty documents give an empty result.
 """
 
@@ -176,8 +176,11 @@ def kth_greatest(keys: DataFrame, k: int, column: str, bins: int = 4096) -> tupl
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, scale: float = SCALE) -> DataFrame:
-    """docs(doc_id, text), labels(doc_id, quality) -> doc_id, log_weight, gumbel, kept; a row per document."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    """docs(doc_id, text), labels(doc_id, quality[, toxic]) -> doc_id, log_weight, gumbel, kept; a row per document."""
+    good = F.col("quality") == 1
+    if "toxic" in labels.columns:
+        good &= F.coalesce("toxic", F.lit(0)) != 1
+    marks = labels.select("doc_id", good.alias("good")).where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # Small tables of labels go to every task; larger ones meet the documents in a shuffle.
     joined = docs.join(broadcast_if_small(marks, 1_000_000), "doc_id", "left")

@@ -325,3 +325,11 @@ def test_quality_of_few_labels(spark, docs):
         labels = spark.createDataFrame([(i, 1) for i in range(good)] + [(100 + i, 0) for i in range(bad)], "doc_id long, quality int")
         kept = {r["doc_id"] for r in op6_quality.resample(docs(rows), labels).where("kept").collect()}
         assert kept == set(range(80))
+
+
+def test_quality_of_toxic_labels(spark, docs):
+    rude = [(100 + i, " ".join(w if j % 3 else "idiot moron" for j, w in enumerate(text(60, 500 + i).split()))) for i in range(20)]
+    rows = [(i, text(60, i)) for i in range(80)] + rude
+    labels = spark.createDataFrame([(i, 1, 0 if i % 2 else None) for i in range(40)] + [(100 + i, 1 if i < 9 else None, 1) for i in range(10)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in op6_quality.resample(docs(rows), labels).where("kept").collect()}
+    assert kept == set(range(80))
