@@ -8,7 +8,8 @@ is above a cut: the one that leaves the fewest labelled documents on the wrong s
 the weights next to it. There a good document has the weight it would have without its own label, as the others have.
 
 Per-feature log ratios are averaged, not summed, and scaled to `scale` features, so that long documents are not told
-apart by their length alone. The counts are vectors of fixed size, summed by blocks of buckets; the k-th greatest key
+apart by their length alone. At this scale the noise is small against the weights, so the draw is in effect a threshold
+on the mean. The counts are vectors of fixed size, summed by blocks of buckets; the k-th greatest key
 is found by counting ever finer bins of the keys, so neither is any list sent to the driver nor anything sorted as a
 whole; ties at the cut go by doc_id.
 
