@@ -1,4 +1,4 @@
-"""Substring dedup by recompression: runs and pairs of tokens get global names, round after round.
+"""Substring dedup at anchors that recompression picks: runs and pairs of tokens get global names, round after round.
 
 In each round, runs of equal symbols are taken together, then every pair of a "left" and a "right" symbol becomes one
 symbol; the side is a bit of the symbol's name, and a name is a hash of what it stands for. So all tasks give equal
