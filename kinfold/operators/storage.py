@@ -8,6 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinfold.errors import ConfigurationError
+
+
+#: Folder of stored tables below the shared one.
+PREFIX = "kinfold"
+
 
 @functools.lru_cache(maxsize=8)
 def _own_folder(app_id: str) -> str:
@@ -15,15 +21,33 @@ def _own_folder(app_id: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local temporary folder only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+    """spark.checkpoint.dir of the session. Where it is unset, a local temporary folder if the master is local (tests);
+    on a cluster that is an error, as executors would not see each other's files."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/kinfold/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{PREFIX}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again (their frames come from stored() as they are), and lets Spark
+    clean up after the jobs that read them."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            if f"/{PREFIX}/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark._jvm.System.gc()  # shuffle files go with the plans that wrote them
