@@ -1,8 +1,9 @@
 """Vectorised work on blocks of whole texts: words, 64-bit names of byte strings, window minima.
 
-A block is a run of documents as one array of UTF-8 bytes with the documents' offsets. The name of a byte string is a
-polynomial hash modulo 2**64 over random byte values, taken from running sums, so that any substring is named in
-constant time; names are mixed before use.
+A block is a run of documents as one array of UTF-8 bytes with the documents' offsets. The name of a byte string is
+chained over its lanes of 8 bytes, each mixed in by a bijection, so that no pair of regular strings (Thue-Morse and its
+like, which polynomials modulo 2**64 confuse) meets by construction. Names of all substrings of one length come from
+running sums instead; they are used only where the bytes are compared afterwards, or are exact (8 bytes or fewer).
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_LANE = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=object).astype(np.uint64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -72,25 +74,40 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np
         at = to
 
 
-def running(buf: np.ndarray) -> np.ndarray:
-    """Running sums from which name() takes the names of substrings; one longer than buf."""
-    powers, _ = _powers(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
-    return sums
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on, as a number."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-def name(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * _powers(len(sums))[1][start] + (end - start).astype(np.uint64))
+def name(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+    """Names of the substrings buf[start:end]; equal strings under equal seeds have equal names."""
+    lanes, at, left, who = _lanes(buf), start, end - start, None
+    out = held = mix(left.astype(np.uint64) * BASE + U64(seed))
+    while len(at):
+        held = mix((held ^ (lanes[at] & _LANE[np.minimum(left, 8)])) * BASE)
+        if who is None:
+            out = held
+        else:
+            out[who] = held
+        more = np.flatnonzero(left > 8)  # what is longer goes on
+        who = more if who is None else who[more]
+        at, left, held = at[more] + 8, left[more] - 8, held[more]
+    return out
 
 
-def names_of_length(sums: np.ndarray, k: int) -> np.ndarray:
-    """Names of all substrings of k bytes, by start."""
-    n = len(sums) - 1 - k + 1
+def names_of_length(buf: np.ndarray, k: int) -> np.ndarray:
+    """Names of all substrings of k bytes, by start: exact up to 8 bytes, else polynomials modulo 2**64."""
+    n = len(buf) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    return mix((sums[k:] - sums[:n]) * _powers(len(sums))[1][:n])
+    if k <= 8:
+        return mix((_lanes(buf)[:n] & _LANE[k]) + U64(k))
+    ahead, back = _powers(len(buf) + 1)
+    sums = np.empty(len(buf) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[buf] * ahead[: len(buf)], out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * back[:n])
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

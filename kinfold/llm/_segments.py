@@ -13,7 +13,8 @@ equal key, so all questions are answered key by key:
 4. `compare` (by key): the operator's own method finds the windows that these contents share.
 5. `apply` (by document): covered parts go.
 
-Records travel as packed arrays in few rows. Rows of one doc_id are one document.
+Contents are equal if the names of both anchor and content are, 128 bits together. Records travel as packed arrays in
+few rows. A document is a row, known by the number that _base.numbered() gives it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import _kernel as K
-from kinfold.llm._base import partitions, stored
+from kinfold.llm._base import partitions, shards, stored
 
 POSITION_BITS = 28
 _MASK = np.uint64((1 << POSITION_BITS) - 1)
@@ -61,6 +62,32 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte place by byte place."""
+    return len(values).to_bytes(8, "little") + pa.compress(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def from_planes(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    if not n:
+        return np.empty(0, np.int64)
+    raw = pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view(np.int64).ravel()
+
+
+def bundle(*blobs: bytes) -> bytes:
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+
+
+def unbundle(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(blob[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def anchored(priority: np.ndarray, bounds: np.ndarray, reach: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments (document, first window start, number of windows, anchor) of the documents between bounds.
 
@@ -84,19 +111,26 @@ def anchored(priority: np.ndarray, bounds: np.ndarray, reach: int, window: int)
     return doc[at], base, n, place
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the keys (the first is the most significant) and the starts of runs of equal first keys."""
+def _groups(*keys: np.ndarray, lead: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the keys (the first is the most significant) and the starts of runs in which the first `lead` agree."""
     order = np.lexsort(keys[::-1])
-    lead = keys[0][order]
-    return order, np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]])[: len(lead)])
-
-
-def _first_of(names: np.ndarray, docs: np.ndarray, positions: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(open, covered): records of each name that may hold a first occurrence, and those that repeat an earlier one.
-    across: a repeat must lie in a document of greater id, else any later place counts."""
-    order, starts = _groups(names, docs, positions)
+    cut = np.zeros(len(order), bool)
+    cut[:1] = True
+    for k in keys[:lead]:
+        k = k[order]
+        cut[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(cut)
+
+
+def _first_of(key: np.ndarray, content: np.ndarray, docs: np.ndarray, positions: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(open, covered): records of each name (key, content) that may hold a first occurrence, and those that repeat an
+    earlier one. across: a repeat must lie in a later document, else any later place counts. Records of one place (rows
+    that share a number) go together."""
+    order, starts = _groups(content, key, docs, positions, lead=2)
     lead = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
-    same = docs[order] == docs[lead] if across else order == lead
+    same = docs[order] == docs[lead]
+    if not across:
+        same &= positions[order] == positions[lead]
     return order[same], order[~same]
 
 
@@ -126,9 +160,7 @@ ASKED = ("i8", "u8", "i4", "i4")
 def _cut(cutter: Callable, shards: int, across: bool):
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         key, content, doc, pos, n = (np.concatenate([h[i] for h in held]) for i in range(5))
-        if not len(key):  # rows without an id alone
-            return
-        kept, covered = _first_of(content, doc, pos, across)
+        kept, covered = _first_of(key, content, doc, pos, across)
         shard = (key[kept] >> np.uint64(33)) % np.uint64(shards)
         order = kept[np.argsort(shard, kind="stable")]
         shard = (key[order] >> np.uint64(33)) % np.uint64(shards)
@@ -147,12 +179,10 @@ def _cut(cutter: Callable, shards: int, across: bool):
     def run(batches):
         held, count = [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, buf, offsets in K.blocks(batch.column(1)):
                 key, content, doc, pos, n = cutter(buf, offsets)
-                own = known[at + doc]
-                held.append((key[own], content[own], ids[at + doc[own]].astype(np.int64), pos[own].astype(np.int32), n[own].astype(np.int32)))
+                held.append((key, content, ids[at + doc].astype(np.int64), pos.astype(np.int32), n.astype(np.int32)))
                 count += len(doc)
                 if count >= CHUNK:
                     yield from send(held)
@@ -184,7 +214,7 @@ def _settle(across: bool):
             at = order[again]
             key, content, doc, pos, n = key[at], content[at], doc[at], pos[at], n[at]
             if len(key):
-                kept, covered = _first_of(content, doc, pos, across)
+                kept, covered = _first_of(key, content, doc, pos, across)
                 rows += _rows(1, doc[covered], [pos[covered], n[covered]])
                 # Several contents of one key: the texts decide.
                 order, starts = _groups(key[kept], content[kept])
@@ -206,7 +236,7 @@ def _per_document(handle: Callable, kinds: tuple[str, ...]):
         group, marks = None, []
         for batch in batches:
             gs, kind = batch.column("g").to_pylist(), batch.column("kind").to_pylist()
-            ids, blobs = batch.column("doc_id").to_pylist(), batch.column("blob")
+            ids, blobs = batch.column("row").to_pylist(), batch.column("blob")
             rows, found, ready = [], [], None
             for i, g in enumerate(gs):
                 if g != group:
@@ -225,7 +255,7 @@ def _per_document(handle: Callable, kinds: tuple[str, ...]):
                     else:
                         ready = (np.empty(0, np.int64), [np.empty(0, np.dtype(k)) for k in kinds])
                 docs, columns = ready
-                own = slice(*np.searchsorted(docs, [ids[i], ids[i] + 1])) if ids[i] is not None else slice(0, 0)
+                own = slice(*np.searchsorted(docs, [ids[i], ids[i] + 1]))
                 rows.append(i)
                 found.append([c[own] for c in columns])
             if rows:
@@ -235,35 +265,22 @@ def _per_document(handle: Callable, kinds: tuple[str, ...]):
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, handle: Callable, kinds: tuple[str, ...], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """handle() over docs(doc_id, text, *extra) and their packed marks(g, blob); the texts are shuffled once."""
+    """handle() over docs(row, text, *extra) and their packed marks(g, blob); the texts are shuffled once."""
     spark = docs.sparkSession
-    own = docs.select(F.shiftright("doc_id", GROUP_SHIFT).alias("g"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("blob"), *extra)
-    other = marks.select("g", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob", *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in extra])
-    # Rows without an id have no marks: they spread by their text.
-    spread = F.coalesce("g", F.xxhash64("text"))
-    both = own.unionByName(other).repartition(partitions(spark), spread).sortWithinPartitions("g", "kind")
+    own = docs.select(F.shiftright("row", GROUP_SHIFT).alias("g"), F.lit(1).alias("kind"), "row", "text", F.lit(None).cast("binary").alias("blob"), *extra)
+    other = marks.select("g", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("string").alias("text"), "blob", *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in extra])
+    both = own.unionByName(other).repartition(partitions(spark), "g").sortWithinPartitions("g", "kind")
     return both.mapInArrow(_per_document(handle, kinds), schema)
 
 
-def one_row_an_id(docs: DataFrame) -> DataFrame:
-    """docs without repeated doc_ids: of such rows that with the greatest text stays; rows without an id stay."""
-    again = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return docs
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    best = docs.join(again, "doc_id").groupBy("doc_id").agg(F.max(F.struct("text", *others)).alias("s")).select("doc_id", "s.*")
-    return docs.join(again, "doc_id", "left_anti").unionByName(best)
-
-
 def covered_windows(docs: DataFrame, cutter: Callable, reader: Callable, comparer: Callable, across: bool) -> DataFrame:
-    """Packed marks (g, blob of COVERED) of all windows of docs(doc_id, text) that repeat an earlier one.
+    """Packed marks (g, blob of COVERED) of all windows of docs(row, text) that repeat an earlier one.
 
     cutter(bytes, offsets): arrays (key, content, document, first window, windows) of the segments.
     reader(text bytes, pos, n): for each asked segment, its bytes for the comparer.
     comparer(key, doc, pos, n, payloads): (doc, pos, n) of the runs of covered windows."""
-    spark = docs.sparkSession
-    shards = 2 * partitions(spark)
-    sent = docs.select("doc_id", "text").mapInArrow(_cut(cutter, shards, across), "shard int, kind int, blob binary")
+    count = shards(docs)
+    sent = docs.select("row", "text").mapInArrow(_cut(cutter, count, across), "shard int, kind int, blob binary")
     settled = stored(sent.groupBy("shard").applyInArrow(_settle(across), MARK), "settled")
 
     def fetch(batch, found):
@@ -271,7 +288,7 @@ def covered_windows(docs: DataFrame, cutter: Callable, reader: Callable, compare
         for i, (doc, key, pos, n) in enumerate(found):
             if len(key):
                 for j, payload in enumerate(reader((texts[i].as_py() or "").encode(), pos, n)):
-                    rows.append((int(key[j] >> np.uint64(33)) % shards, key[j : j + 1].tobytes(), int(doc[j]), int(pos[j]), int(n[j]), payload))
+                    rows.append((int(key[j] >> np.uint64(33)) % count, key[j : j + 1].tobytes(), int(doc[j]), int(pos[j]), int(n[j]), payload))
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],

@@ -16,8 +16,11 @@ are dropped before. Links are confirmed on whole shingle sets, made again from t
 With 32 bands of 4 coordinates a pair of similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 < 5e-8.
 
 Defined cases: null or wordless texts have no shingles, are linked with nothing and are kept; texts of fewer words
-than a shingle have one shingle, the whole sequence; rows of one doc_id are one document (that with the greatest text);
-rows without an id are kept and linked with nothing; an empty table gives an empty result; other columns are not touched.
+than a shingle have one shingle, the whole sequence; very long texts are compared whole. Every row has a row in the
+result: rows that share a doc_id are documents of their own in the order of digests of their texts, rows without an id
+come after all others and are linked like them; rows that agree in both id and text are one document, and each gets its
+result. A component is known by its first document's id, and only that document is kept. An empty table gives an empty
+result; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -30,8 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import _kernel as K
-from kinfold.llm._base import stored, table
-from kinfold.llm._segments import one_row_an_id
+from kinfold.llm._base import numbered, stored, table
 from kinfold.operators.components import components as linked_components
 
 NAME = "op10_near_duplicates"
@@ -45,7 +47,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.nda
     for at, buf, offsets in K.blocks(column):
         buf = K.lowered(buf)
         start, end, bounds = K.words(buf, offsets)
-        word = K.name(K.running(buf), start, end) if len(start) else np.empty(0, np.uint64)
+        word = K.name(buf, start, end)
         run = K.runs_of(word, size)
         sets = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -83,7 +85,7 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 
 def _sketch(size: int):
-    """doc_id, text -> doc_id, n_shingles, set_hi, set_lo (the set's name, null if empty)."""
+    """row, text -> row, n_shingles, set_hi, set_lo (the set's name)."""
 
     def run(batches):
         for batch in batches:
@@ -92,13 +94,13 @@ def _sketch(size: int):
                 n = np.array([len(s) for s in sets], np.int64)
                 hi = np.array([int(np.bitwise_xor.reduce(K.mix(s))) if len(s) else 0 for s in sets], np.uint64)
                 lo = np.array([int(np.add.reduce(K.mix(s + np.uint64(1)), dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], ["doc_id", "n_shingles", "set_hi", "set_lo"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], ["row", "n_shingles", "set_hi", "set_lo"])
 
     return run
 
 
 def _bands(size: int, bands: int, band: int):
-    """doc_id, text of non-empty documents -> a row per document: doc_id, bands (bucket names)."""
+    """row, text of non-empty documents -> a row per document: row, bands (bucket names)."""
 
     def run(batches):
         for batch in batches:
@@ -114,7 +116,7 @@ def _bands(size: int, bands: int, band: int):
                     for k in range(band):
                         names[:, b] = K.mix(names[:, b] * K.BASE + got[:, b * band + k])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, names.size + 1, bands, dtype=np.int32)), pa.array(names.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)).take(pa.array(full)), lists], ["doc_id", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)).take(pa.array(full)), lists], ["row", "bands"])
 
     return run
 
@@ -146,20 +148,20 @@ PART = 256
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts (doc_id, text) are linked. Every text is sent once to each center it meets; a
+    """The pairs (a, b) whose texts (row, text) are linked. Every text is sent once to each center it meets; a
     center's own text goes once to each part of its members."""
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).cast("int")
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     dealt = pairs.join(counts, "a").select(F.col("a").alias("center"), part.alias("part"), F.col("b").alias("member"))
-    wanted = dealt.withColumn("doc_id", F.col("member")).unionByName(dealt.select("center", "part").distinct().withColumn("member", F.lit(None).cast("bigint")).withColumn("doc_id", F.col("center")))
-    rows = wanted.join(texts, "doc_id").select("center", "part", "member", "text")
+    wanted = dealt.withColumn("row", F.col("member")).unionByName(dealt.select("center", "part").distinct().withColumn("member", F.lit(None).cast("bigint")).withColumn("row", F.col("center")))
+    rows = wanted.join(texts, "row").select("center", "part", "member", "text")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "center", "part").sortWithinPartitions("center", "part", F.col("member").asc_nulls_first())
     return rows.mapInArrow(_compare(size, percent), "a long, b long")
 
 
 def _cells(size: int, percent: int, coordinates: int):
-    """Sorted rows (family, i, j, part, doc_id, component, text): parts i and j of a family -> links (a, b) that join
+    """Sorted rows (family, i, j, part, row, component, text): parts i and j of a family -> links (a, b) that join
     different components."""
     share = percent / 100.0
     least = share * coordinates - 6.0 * (share * (1 - share) * coordinates) ** 0.5
@@ -228,21 +230,21 @@ FAMILY_PART = 512
 
 
 def joining(split: DataFrame, texts: DataFrame, size: int, percent: int, coordinates: int) -> DataFrame:
-    """Links that join components among the members of split(bucket, doc_id, component), buckets of several components."""
-    heads = split.groupBy("bucket").agg(F.min("doc_id").alias("a"))
-    met = stored(split.join(heads, "bucket").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "met")
+    """Links that join components among the members of split(bucket, row, component), buckets of several components."""
+    heads = split.groupBy("bucket").agg(F.min("row").alias("a"))
+    met = stored(split.join(heads, "bucket").where("a != row").select("a", F.col("row").alias("b")).distinct(), "met")
     # A member stands for its smallest head from here on, so that few different links are left to spread labels along.
     firsts = stored(met.groupBy("b").agg(F.min("a").alias("first")), "firsts")
     short = met.join(firsts, "b").join(firsts.select(F.col("b").alias("a"), F.col("first").alias("of")), "a", "left")
     short = short.select(F.coalesce("of", "a").alias("a"), F.col("first").alias("b")).where("a != b").distinct()
-    heard = split.select("doc_id").distinct().join(firsts.withColumnRenamed("b", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("id"))
-    families = heard.join(linked_components(short), "id", "left").select("doc_id", F.coalesce("component", "id").alias("family"))
-    own = stored(split.select("doc_id", "component").distinct().join(families, "doc_id"), "families")
+    heard = split.select("row").distinct().join(firsts.withColumnRenamed("b", "row"), "row", "left").select("row", F.coalesce("first", "row").alias("id"))
+    families = heard.join(linked_components(short), "id", "left").select("row", F.coalesce("component", "id").alias("family"))
+    own = stored(split.select("row", "component").distinct().join(families, "row"), "families")
     parts = own.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_PART).cast("int").alias("k"))
-    own = own.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    own = own.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
     cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component")
-    rows = cells.join(texts, "doc_id").select("family", "i", "j", "part", "doc_id", "component", "text")
+    cells = cells.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "row", "component")
+    rows = cells.join(texts, "row").select("family", "i", "j", "part", "row", "component", "text")
     n = int(split.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
     return rows.mapInArrow(_cells(size, percent, coordinates), "a long, b long")
@@ -254,34 +256,39 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, band: int = BAND) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept; a row per distinct doc_id and per row without one."""
-    docs = one_row_an_id(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    sketch = stored(docs.mapInArrow(_sketch(size), "doc_id long, n_shingles long, set_hi long, set_lo long"), "sketches")
-    full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles")), "classes")
-    texts = docs.join(classes.select(F.col("id").alias("doc_id"), "n_shingles"), "doc_id")
-    texts = texts.select("doc_id", "text")
-    buckets = stored(docs.mapInArrow(_bands(size, bands, band), "doc_id long, bands array<long>").select("doc_id", F.explode("bands").alias("bucket")).distinct().join(classes.select(F.col("id").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id"), "buckets")
-    heads = buckets.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stored(buckets.join(heads, "bucket").select("bucket", "doc_id", "n", "head", "members"), "met")
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept and `row`, the document's number; a row per row."""
+    docs, own = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    ids, docs = docs.select("row", "doc_id"), docs.select("row", "text")
+    sketch = stored(docs.mapInArrow(_sketch(size), "row long, n_shingles long, set_hi long, set_lo long"), "sketches")
+    full = sketch.where("n_shingles > 0")
+    classes = stored(full.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("row").alias("id")), "classes")
+    texts = docs.join(classes.select(F.col("id").alias("row")), "row").select("row", "text")
+    banded = docs.mapInArrow(_bands(size, bands, band), "row long, bands array<long>").select("row", F.explode("bands").alias("bucket")).distinct()
+    buckets = stored(banded.join(classes.select(F.col("id").alias("row"), F.col("n_shingles").alias("n")), "row"), "buckets")
+    heads = buckets.groupBy("bucket").agg(F.min(F.struct("row", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = stored(buckets.join(heads, "bucket").select("bucket", "row", "n", "head", "members"), "met")
     fits = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    star = stored(met.where("doc_id != head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), "n", F.col("head.n").alias("m")).where(fits).select("a", "b").distinct(), "star")
+    star = stored(met.where("row != head.row").select(F.col("head.row").alias("a"), F.col("row").alias("b"), "n", F.col("head.n").alias("m")).where(fits).select("a", "b").distinct(), "star")
     links = stored(confirmed(star, texts, size, percent), "star-links")
     nodes = classes.select("id")
     labels = stored(components(nodes, links), "components")
-    placed = met.select("bucket", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id")
+    placed = met.select("bucket", "row").join(labels.withColumnRenamed("id", "row"), "row")
     several = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("bucket")
-    split = stored(placed.join(several, "bucket").select("bucket", "doc_id", "component"), "split")
+    split = stored(placed.join(several, "bucket").select("bucket", "row", "component"), "split")
     links = links.unionByName(stored(joining(split, texts, size, percent, bands * band), "joining-links"))
     labels = components(nodes, links).withColumnRenamed("id", "class_id")
-    member = full.join(classes.select("set_hi", "set_lo", F.col("id").alias("class_id")), ["set_hi", "set_lo"]).join(labels, "class_id")
-    out = sketch.join(member.select(F.col("doc_id").alias("d"), "component"), F.col("doc_id") == F.col("d"), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    member = full.join(classes.select("set_hi", "set_lo", "n_shingles", F.col("id").alias("class_id")), ["set_hi", "set_lo", "n_shingles"]).join(labels, "class_id")
+    rows = sketch.select("row", "n_shingles").distinct().join(member.select("row", "component").distinct(), "row", "left").select("row", "n_shingles", F.coalesce("component", "row").alias("component"))
+    if own:
+        out = rows.select(F.col("row").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "row", "component")
+    else:
+        first = ids.distinct().select(F.col("row").alias("component"), F.col("doc_id").alias("component_id"))
+        out = ids.join(rows.join(first, "component"), "row")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("row") == F.col("component")).alias("kept"), "row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE_SQL = r"""

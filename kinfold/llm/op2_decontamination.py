@@ -1,8 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index, with DataFrame functions only.
 
-Index: one posting (term, row, position) for every training token whose term occurs in the test set (other postings
-can't be part of a match), written once as a table in the shared folder, with a closing posting a document that holds
-its number of words. Each test phrase is looked up from its two rarest terms, counted in the index: the postings of
+Index: one posting (term, row, position) for every training token, written as a table in the shared folder, with a
+closing posting a document that holds its number of words. index() without terms stores all of them, to be kept and
+asked by any test set; decontaminate(), which asks once, stores the postings of its test set's terms only, as no other
+can be part of a match. Each test phrase is looked up from its two rarest terms, counted in the index: the postings of
 the rarest, moved back by its offset, give the places where the phrase could start; those of the second rarest, moved
 by its own offset, are intersected with them; the places left are then intersected with the postings of all other
 terms, and an exact match is one at which every offset was found. proximity() does the same for terms within a window.
@@ -10,7 +11,7 @@ terms, and an exact match is one at which every offset was found. proximity() do
 Skew: a very common term is read only for phrases that have no rarer one; the joins are on (row, start), which
 spreads a common phrase over its documents. A document's matches are joined into covered words by running sums.
 
-Defined cases: null or wordless texts have no words and are not contaminated; repeated rows, also with equal doc_id,
+Defined cases: null or wordless texts have no words and are not contaminated; very long texts are indexed whole; repeated rows, also with equal doc_id,
 are indexed as rows of their own; an empty benchmark hits nothing; an item of fewer words than the window, but not
 none, is one phrase; empty documents give an empty result; other columns are not touched.
 """
@@ -41,13 +42,18 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return listed.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, window))).alias("phrase")).distinct()
 
 
-def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Postings (term_id, row, doc_id, pos) of the terms (term, term_id) in docs(doc_id, text); term_id -1 closes a
-    row, at the number of its words."""
+    row, at the number of its words. Without terms, of every token: (term, row, doc_id, pos)."""
     listed = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(words(), F.array(F.lit(END))).alias("w"))
     exploded = listed.select("doc_id", "row", F.posexplode("w").alias("pos", "term"))
-    vocabulary = terms.select("term", "term_id").unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(-1).cast("long").alias("term_id")))
-    return exploded.join(broadcast_if_small(vocabulary), "term").select("term_id", "row", "doc_id", "pos")
+    return exploded if terms is None else known(exploded, terms)
+
+
+def known(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Of postings by term those of the terms (term, term_id), by their numbers."""
+    vocabulary = terms.select("term", "term_id").unionByName(postings.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(-1).cast("long").alias("term_id")))
+    return postings.join(broadcast_if_small(vocabulary), "term").select("term_id", "row", "doc_id", "pos")
 
 
 def _plan(test: DataFrame, postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -92,16 +98,16 @@ def proximity(test: DataFrame, postings: DataFrame, terms: DataFrame, within: in
     return met.groupBy("phrase_id", "row", "pos").agg(F.count_distinct("term_id").alias("met")).join(count, "phrase_id").where("met = needed").select("phrase_id", "row", "pos")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, postings: DataFrame | None = None) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> a row per document: row, doc_id, n_words, n_hit, n_items,
-    item_ids (sorted strings, comma-joined) and contaminated."""
+    item_ids (sorted strings, comma-joined) and contaminated. postings: a stored index(docs) of all tokens."""
     listed = phrases(items, window)
-    # A phrase is known by its words; rows with equal phrases share an id.
-    keyed = stored(listed.withColumn("phrase_id", F.xxhash64("phrase")), "phrases")
-    test = keyed.select("phrase_id", "phrase").distinct()
-    terms = stored(keyed.select(F.explode("phrase").alias("term")).distinct().withColumn("term_id", F.row_number().over(Window.orderBy("term")).cast("long")), "terms")
-    postings = stored(index(docs, terms), "postings")
-    found = stored(exact_matches(test, postings, terms), "matches")
+    # Distinct phrases and terms are numbered where they are, without one order of all; the tables hold the numbers.
+    test = stored(listed.select("phrase").distinct().withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
+    keyed = listed.join(test, "phrase").select("item_id", "phrase_id")
+    terms = stored(test.select(F.explode("phrase").alias("term")).distinct().withColumn("term_id", F.monotonically_increasing_id()), "terms")
+    postings = stored(index(docs, terms) if postings is None else known(postings, terms), "postings")
+    found = stored(exact_matches(test.select("phrase_id", "phrase"), postings, terms), "matches")
     order = Window.partitionBy("row").orderBy("start", "end")
     spans = found.groupBy("row", "start").agg(F.max(F.col("start") + F.col("n")).alias("end"))
     spans = spans.withColumn("covered", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -12,14 +12,15 @@ and the whole text of each, as chains of PIECE words; predictions use whole text
 doc_id is a class; texts and words run in groups of so many cells (CELLS), so that arrays don't grow with the number of
 languages, but the work of a step grows with its square.
 
-Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the language that comes first
-in order of code points; repeated rows are rows of their own; with no training text all are `und`; empty documents
-give an empty result. Language, source and id are never inputs of a prediction.
+Defined cases: null texts and texts without a letter (no code point of Unicode category L) are `und` with score 0; ties go to the language that comes first
+in order of code points; repeated rows are rows of their own; very long texts are read whole; with no training text
+all are `und`; empty documents give an empty result; columns other than those named here are not read. Language, source and id are never inputs of a prediction.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,15 @@ CELLS = 1 << 21
 #: Parts of a language's rows that are ordered on their own before the sample is taken from the firsts of all parts.
 PARTS = 16
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Code points that the pattern takes though they are no letters (Unicode categories No and Nl): fractions, superscripts,
+#: circled and Roman numbers.
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha()) + "]")
 
 
 def tokens(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
+    """Runs of letters (Unicode categories L), in lower case."""
+    if not text.isascii():
+        text = _NUMBERS.sub(" ", text)
     return _WORD.findall(text.lower())
 
 
@@ -60,17 +66,17 @@ def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray
     buf = np.frombuffer(b"".join(data), np.uint8)
     end = np.cumsum(size)
     start = end - size
-    sums, numbers = K.running(buf), np.arange(len(words))
+    numbers = np.arange(len(words))
     found = [
-        (K.name(sums, start, end), numbers),
+        (K.name(buf, start, end), numbers),
         (np.minimum(size, 14).astype(np.uint64), numbers),
         (np.array([lexicon.get(w, -1) + 1 for w in words], np.uint64), numbers),
     ]
     for k in range(1, 5):
-        found += [(K.name(sums, start, np.minimum(start + 1 + k, end)), numbers), (K.name(sums, np.maximum(end - 1 - k, start), end), numbers)]
+        found += [(K.name(buf, start, np.minimum(start + 1 + k, end)), numbers), (K.name(buf, np.maximum(end - 1 - k, start), end), numbers)]
     for n in (2, 3):
         count = np.maximum(size - n + 1, 0)
-        found.append((K.names_of_length(sums, n)[K.spread(start, count)], np.repeat(numbers, count)))
+        found.append((K.names_of_length(buf, n)[K.spread(start, count)], np.repeat(numbers, count)))
     names = np.concatenate([K.mix(x ^ np.uint64(1 + i)) for i, (x, _) in enumerate(found)])
     owner = np.concatenate([o for _, o in found])
     order = np.argsort(owner, kind="stable")
@@ -305,8 +311,9 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, st
     for keys in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):
         ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))).where(F.col("place") <= sample)
     picked = docs.join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
-    rows = picked.select("doc_id", F.col("text").cast("string").alias("text"), "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    # Of several rows of one id and language the least text counts, so the bound holds for rows too.
+    rows = picked.groupBy("doc_id", "lang").agg(F.min(F.col("text").cast("string")).alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"]))]
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -1,23 +1,25 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id; each range writes its own series of files, and a file ends with the record at
+Every page row is a record. Records are range-sorted by page_id; each range writes its own series of files, and a file ends with the record at
 which its compressed size reaches `roll_bytes`. Every record is a gzip member of its own with headers and digests
 made anew: the record id is a UUID from the digest of its identity, dates are fixed by the caller, so equal input and
 ranges give equal files. A file is written under a temporary name with the attempt in it and moved to its final name
 when complete; tasks return manifest rows, and the manifest, written last under a temporary name and moved, is what
 makes a run visible: readers take the files that it lists, with their sizes and digests, and nothing else.
 
-Of records with equal payloads of at least `min_revisit` bytes, that with the smallest page_id is a response and the
-others revisit it: their block is the HTTP header only (with the payload's length), their digest that of the payload.
+Of records with equal payloads of at least `min_revisit` bytes, the first (that with the smallest page_id) is a response
+and the others revisit it: their block is the HTTP header only (with the payload's length), their digest that of the payload.
 
 Files are written through pyarrow's file systems, at a URI in the folder that the cluster shares.
 
 Skew: equal payloads are met by their digests only, pre-aggregated; html is shuffled once, by ranges of page_id, where
 the note that a page is a revisit joins it as a neighbouring row.
 
-Defined cases: null html is an empty payload; null urls are written as an empty target; rows of one page_id with
-equal payloads are one record, and of those with different payloads the greatest stays; rows without a page_id are
-left out of the archive; an empty table makes a manifest without files.
+Defined cases: null html is an empty payload, and very long html is written whole; null urls are written as an empty
+target. Where page_ids repeat or are null, rows are ordered by (page_id, null ids last; digests of url and html) and
+numbered; each row, equal ones too, is a record of its own, and the first in that order is the response. A row without a
+page_id is read back without one (and so is refers_to of what revisits it). An empty table makes a manifest without
+files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import fresh_path, partitions, stored, table
+from kinfold.llm._base import fresh_path, numbered, partitions, stored, table
 
 NAME = "op5_warc"
 ORACLE_SQL = None  # SQL has no base32
@@ -54,27 +56,31 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(b'page:%d' % page_id).digest()[:16], version=5)}>"
+def _record_id(number: tuple[int, int]) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(b'page:%d' % number[0] + (b':%d' % number[1] if number[1] > 1 else b'')).digest()[:16], version=5)}>"
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """One WARC record, uncompressed."""
+def record(number: tuple[int, int], page_id: int | None, url: str, payload: bytes, refers_to: tuple[tuple[int, int], int | None] | None, date: str = DATE) -> bytes:
+    """One WARC record, uncompressed. number: of the row, and which of its copies this is; refers_to: number and page_id
+    of the response."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     digest = base32_sha1(payload)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {_record_id(page_id)}",
+        f"WARC-Record-ID: {_record_id(number)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
-        f"X-Page-ID: {page_id}",
     ]
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        if refers_to[1] is not None:
+            lines.append(f"X-Refers-To-Page-ID: {refers_to[1]}")
+        lines += [f"WARC-Refers-To: {_record_id(refers_to[0])}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -119,21 +125,17 @@ def _write(root: str, roll_bytes: int, date: str):
     def run(batches):
         from pyspark import TaskContext
 
-        context, series, rows = TaskContext.get(), None, []
-        last, refers = None, None
+        context, series, rows, note = TaskContext.get(), None, [], None
         for batch in batches:
-            ids, kinds, urls, notes, pages = (batch.column(i) for i in range(5))
-            for i, page_id in enumerate(ids.to_pylist()):
+            numbers, copies, kinds, firsts, own, ids, urls, pages = (batch.column(i) for i in range(8))
+            for i, number in enumerate(zip(numbers.to_pylist(), copies.to_pylist(), strict=True)):
                 if kinds[i].as_py() == 0:  # the note comes before its page
-                    refers = (page_id, notes[i].as_py())
-                    continue
-                if page_id == last:
+                    note = (number, (firsts[i].as_py(), 1), own[i].as_py())
                     continue
                 if series is None:
                     series = _Series(root, f"part-{context.partitionId():05d}", roll_bytes, f"{context.taskAttemptId()}")
-                last = page_id
-                to = refers[1] if refers and refers[0] == page_id else None
-                rows += series.add(_member(record(page_id, urls[i].as_py() or "", (pages[i].as_py() or "").encode(), to, date)))
+                to = note[1:] if note and note[0] == number else None
+                rows += series.add(_member(record(number, ids[i].as_py(), urls[i].as_py() or "", (pages[i].as_py() or "").encode(), to, date)))
         if series is not None and series.out is not None:
             rows.append(series.close())
         yield _manifest_batch(rows)
@@ -146,14 +148,21 @@ def write_warc(pages: DataFrame, root: str, min_revisit: int = 0, roll_bytes: in
     spark = pages.sparkSession
     store, path = _open(root)
     store.create_dir(path, recursive=True)
-    pages = pages.where("page_id is not null").select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    slim = stored(pages.select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").alias("n"), F.xxhash64("html").alias("second")).groupBy("page_id").agg(F.max_by(F.struct("digest", "n"), F.struct("n", "second", "digest")).alias("s")).select("page_id", "s.*"), "payloads")
-    firsts = slim.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    notes = slim.where(F.col("n") >= min_revisit).join(firsts, "digest").where("page_id > first").select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("first").alias("refers_to"), F.lit(None).cast("string").alias("html"))
-    rows = pages.select("page_id", F.lit(1).alias("kind"), "url", F.lit(None).cast("bigint").alias("refers_to"), "html")
-    # Of rows with one page_id, that which the digests were taken from comes first.
-    order = [F.col("page_id"), F.col("kind"), F.octet_length("html").desc(), F.xxhash64("html").desc(), F.col("url")]
-    ranged = rows.unionByName(notes).repartitionByRange(ranges or partitions(spark), "page_id").sortWithinPartitions(*order)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    pages, own = numbered(pages, key="page_id", payload=("html", "url"))
+    if own:
+        pages = pages.withColumn("copy", F.lit(1).cast("long"))
+    else:  # equal rows become one, and then so many copies
+        pages = pages.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.first("html").alias("html"), F.count(F.lit(1)).alias("n"))
+        pages = pages.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+    slim = stored(pages.select("row", "copy", "page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").alias("n")), "payloads").where(F.col("n") >= min_revisit)
+    firsts = slim.groupBy("digest").agg(F.min(F.struct("row", "copy", "page_id")).alias("first"), F.count(F.lit(1)).alias("records")).where("records > 1")
+    # Of equal rows the first copy is the least, so a response has copy 1.
+    later = slim.join(firsts, "digest").where("row > first.row or copy > first.copy")
+    nothing = F.lit(None).cast("string")
+    notes = later.select("row", "copy", F.lit(0).alias("kind"), F.col("first.row").alias("first"), F.col("first.page_id").alias("own"), F.lit(None).cast("bigint").alias("page_id"), nothing.alias("url"), nothing.alias("html"))
+    rows = pages.select("row", "copy", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("own"), "page_id", "url", "html")
+    ranged = rows.unionByName(notes).repartitionByRange(ranges or partitions(spark), "row", "copy").sortWithinPartitions("row", "copy", "kind")
     written = ranged.mapInArrow(_write(root, roll_bytes, date), _MANIFEST).orderBy("file").collect()  # a row a file
     temporary = f"{path}/_temporary-manifest-{uuid.uuid4().hex}"
     with store.open_output_stream(temporary) as out:
@@ -195,7 +204,8 @@ def _read(root: str, payload: bool):
                         if headers["WARC-Type"] == "response" and (base32_sha1(body) != digest or len(body) != int(fields["Content-Length"])):
                             raise ValueError(f"payload of record {k} in {file}")
                         to = headers.get("X-Refers-To-Page-ID")
-                        rows.append((int(headers["X-Page-ID"]), headers["WARC-Target-URI"], int(fields["Content-Length"]), digest, headers["WARC-Type"], int(to) if to else None, file, k, body if payload else None))
+                        page = headers.get("X-Page-ID")
+                        rows.append((int(page) if page else None, headers["WARC-Target-URI"], int(fields["Content-Length"]), digest, headers["WARC-Type"], int(to) if to else None, file, k, body if payload else None))
                         if len(rows) >= 1000:
                             yield _parsed(rows, payload)
                             rows = []

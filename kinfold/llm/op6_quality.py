@@ -15,7 +15,9 @@ whole; ties at the cut go by doc_id.
 
 Defined cases: documents without text have no features: weight 0, and they are ranked like others; labels of null
 count as no label, one of a toxic document is not good whatever its quality, a document with several labels is good only if all are; without any good label, or any other,
-nothing is told apart and all are kept; repeated rows are rows of their own; empty documents give an empty result.
+nothing is told apart and all are kept; repeated rows
+are rows of their own, and those without an id have no label; very long texts count whole; empty documents give an
+empty result; columns other than those named here are not read.
 """
 
 from __future__ import annotations
@@ -42,11 +44,10 @@ BINS = 1 << 14
 
 def features(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, document) of all words and byte n-grams of a block."""
-    sums = K.running(buf)
     start, end, bounds = K.words(buf, offsets)
-    words = K.name(sums, start, end) if len(start) else np.empty(0, np.uint64)
+    words = K.name(buf, start, end)
     count = np.maximum(np.diff(offsets) - GRAM + 1, 0)
-    grams = K.names_of_length(sums, GRAM)[K.spread(offsets[:-1], count)] if count.sum() else np.empty(0, np.uint64)
+    grams = K.names_of_length(buf, GRAM)[K.spread(offsets[:-1], count)] if count.sum() else np.empty(0, np.uint64)
     docs = np.concatenate([np.repeat(np.arange(len(count)), np.diff(bounds)), np.repeat(np.arange(len(count)), count)])
     # Words have the lower half of the buckets, n-grams the upper one.
     half = np.uint64(buckets // 2)
@@ -108,7 +109,7 @@ def _weigh(counts: np.ndarray, buckets: int, scale: float):
 
     def run(batches):
         for batch in batches:
-            ids, labels = batch.column(0), batch.column(2)
+            ids, labels, row = batch.column(0), batch.column(2), batch.column(3)
             good = labels.fill_null(False).to_numpy(zero_copy_only=False)
             for at, buf, offsets in K.blocks(batch.column(1)):
                 bucket, doc = features(buf, offsets, buckets)
@@ -124,7 +125,7 @@ def _weigh(counts: np.ndarray, buckets: int, scale: float):
                 left = sizes[0, side] - own[2 * d + side]
                 alone = np.bincount(d, times * log_ratios(counts[0, b] - times, counts[1, b], left, sizes[1, side], half), n) / count
                 fair = np.where(good[at : at + n], alone, weight)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(scale * weight), labels.slice(at, n), pa.array(scale * fair)], ["doc_id", "log_weight", "good", "fair"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(scale * weight), labels.slice(at, n), pa.array(scale * fair), row.slice(at, n)], ["doc_id", "log_weight", "good", "fair", "row"])
 
     return run
 
@@ -176,29 +177,31 @@ def kth_greatest(keys: DataFrame, k: int, column: str, bins: int = 4096) -> tupl
             return value, left - sum(v > value for v in values)
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, scale: float = SCALE) -> DataFrame:
-    """docs(doc_id, text), labels(doc_id, quality[, toxic]) -> doc_id, log_weight, gumbel, kept; a row per document."""
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, scale: float = SCALE, row: str | None = None) -> DataFrame:
+    """docs(doc_id, text), labels(doc_id, quality[, toxic]) -> doc_id, log_weight, gumbel, kept; a row per document.
+    row: a column of docs with whole numbers that the result keeps, as `row`."""
     good = F.col("quality") == 1
     if "toxic" in labels.columns:
         good &= F.coalesce("toxic", F.lit(0)) != 1
     marks = labels.select("doc_id", good.alias("good")).where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"))
     # Small tables of labels go to every task; larger ones meet the documents in a shuffle.
     joined = docs.join(broadcast_if_small(marks, 1_000_000), "doc_id", "left")
     counts = bucket_counts(joined, buckets)
-    weights = joined.select("doc_id", "text", "good").mapInArrow(_weigh(counts, buckets, scale), "doc_id long, log_weight double, good boolean, fair double")
+    weights = joined.select("doc_id", "text", "good", "row").mapInArrow(_weigh(counts, buckets, scale), "doc_id long, log_weight double, good boolean, fair double, row long")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = weights.withColumn("gumbel", -F.log(-F.log(uniform))).withColumn("key", F.col("log_weight") + F.col("gumbel"))
     keyed = stored(keyed, "keys")
+    columns = ["doc_id", "log_weight", "gumbel"] + ["row"] * bool(row)
     cut = best_cut(keyed)
     n = keyed.count()
     k = n if cut is None else keyed.where(F.col("log_weight") > cut).count()
     if k >= n or k == 0:
-        return keyed.select("doc_id", "log_weight", "gumbel", F.lit(True).alias("kept"))
+        return keyed.select(*columns, F.lit(True).alias("kept"))
     value, ties = kth_greatest(keyed, k, "key")
     tied = keyed.where(F.col("key") == value).orderBy(F.col("doc_id").asc_nulls_last()).limit(ties).agg(F.max("doc_id")).first()[0]
     kept = (F.col("key") > value) | ((F.col("key") == value) & (F.coalesce("doc_id", F.lit((1 << 63) - 1)) <= F.lit(tied if tied is not None else (1 << 63) - 1)))
-    return keyed.select("doc_id", "log_weight", "gumbel", kept.alias("kept"))
+    return keyed.select(*columns, kept.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,10 @@ value share at least that many bytes, and what lies between two values is a set
 
 Suffixes need to be in order only by their first `length` symbols, so sorting doubles a few times and stops.
 
-Defined cases: null and short texts have no window and lose nothing; repeats within a document count; rows of one
-doc_id are one document (that with the greatest text); rows without an id are kept whole and never count as earlier;
-an empty table gives an empty result. Work is on bytes: what is kept may cut a code point; strip_substrings() then
+Defined cases: null and short texts have no window and lose nothing; very long texts are cut whole, in one task each;
+repeats within a document count; rows that share a doc_id are documents of their own, in the order of digests of their
+texts, and rows without an id come after all others; rows that agree in both id and text are one document, and each gets
+its result; an empty table gives an empty result; columns other than those named here are not read. Work is on bytes: what is kept may cut a code point; strip_substrings() then
 widens each cut to whole code points, keeping the partly covered ones.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import _kernel as K
 from kinfold.llm import _segments as S
-from kinfold.llm._base import table
+from kinfold.llm._base import numbered, table
 
 NAME = "op8_substrings"
 ORACLE_SQL = None
@@ -108,10 +109,9 @@ def equal_windows(text: np.ndarray, length: int) -> np.ndarray:
 def cutter(buf: np.ndarray, offsets: np.ndarray):
     if len(buf) < LENGTH:
         return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
-    sums = K.running(buf)
-    doc, start, n, place = S.anchored(K.names_of_length(sums, ANCHOR), offsets, LENGTH - ANCHOR + 1, LENGTH)
-    key = K.name(sums, place, place + ANCHOR)
-    content = K.mix(K.name(sums, start, start + n + LENGTH - 1) + (place - start).astype(np.uint64))
+    doc, start, n, place = S.anchored(K.names_of_length(buf, ANCHOR), offsets, LENGTH - ANCHOR + 1, LENGTH)
+    key = K.name(buf, place, place + ANCHOR)
+    content = K.name(buf, start, start + n + LENGTH - 1, (place - start).astype(np.uint64))
     return key, content, doc, start - offsets[doc], n
 
 
@@ -146,15 +146,18 @@ def _compare(rows, doc, pos, n, payloads):
     docs, places = np.repeat(doc[rows], count), K.spread(pos[rows].astype(np.int64), count)
     kind = equal_windows(text, LENGTH)[starts]
     order = np.lexsort((places, docs, kind))
-    late = np.zeros(len(order), bool)
-    late[1:] = kind[order][1:] == kind[order][:-1]
-    docs, places = docs[order][late], places[order][late]
+    docs, places, kind = docs[order], places[order], kind[order]
+    starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    lead = np.repeat(starts, np.diff(np.append(starts, len(kind))))
+    late = (docs != docs[lead]) | (places != places[lead])
+    docs, places = docs[late], places[late]
     if not len(docs):
         return (np.empty(0, np.int64),) * 3
     order = np.lexsort((places, docs))  # runs of windows
     docs, places = docs[order], places[order]
-    first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (places[1:] != places[:-1] + 1)]))
-    return docs[first], places[first], np.diff(np.append(first, len(docs)))
+    first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (places[1:] > places[:-1] + 1)]))
+    last = np.append(first[1:], len(docs)) - 1
+    return docs[first], places[first], places[last] - places[first] + 1
 
 
 def _covered(count: int, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,12 +205,14 @@ def _strip(batch: pa.RecordBatch, found):
 
 def strip_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, text) without bytes covered by a window of LENGTH bytes that also starts earlier."""
-    docs = S.one_row_an_id(docs.select("doc_id", "text"))
+    return _applied(docs, _strip, "doc_id long, text string")
+
+
+def _applied(docs: DataFrame, handle, schema: str) -> DataFrame:
+    docs, _ = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     marks = S.covered_windows(docs, cutter, reader, comparer, across=False)
-    return S.with_marks(docs, marks, _strip, S.COVERED, "doc_id long, text string")
+    return S.with_marks(docs, marks, handle, S.COVERED, schema, ("doc_id",))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = S.one_row_an_id(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    marks = S.covered_windows(docs, cutter, reader, comparer, across=False)
-    return S.with_marks(docs, marks, _digest, S.COVERED, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _applied(table(spark, sf_dir, "documents"), _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,18 +1,23 @@
-"""Substring dedup at anchors that recompression picks: runs and pairs of tokens get global names, round after round.
-
-In each round, runs of equal symbols are taken together, then every pair of a "left" and a "right" symbol becomes one
-symbol; the side is a bit of the symbol's name, and a name is a hash of what it stands for. So all tasks give equal
-token runs equal names without asking each other, and a symbol inside a passage comes out the same wherever the
-passage stands, but for the symbols at its rim: how far a symbol depends on its surroundings is counted exactly (its
-neighbours on either side and one word beyond them).
-
-A window of 13 words takes as its anchor the symbol of the highest level that depends on no word outside the window;
-equal windows take equal anchors. Anchors shared by several documents reveal repeats; the windows at them are then
-named in full and verified against the names of the other documents' windows (see _segments.py for the exchange).
-
-Defined cases: null, empty and shorter texts have no window and lose nothing; repeats within one document stay;
-rows of one doc_id are one document (that with the greatest text); rows without an id are kept whole and never count
-as earlier; an empty table gives an empty result; strip_passages() passes other columns through.
+"""Substring dedup by recompression: Spark rounds name words, runs and pairs globally; shared symbols reveal repeats.
+
+Texts are cut into chunks of words. Round 0 names the words, and each further round names the runs of equal symbols and
+the pairs of a "left" and a "right" symbol (the side is a bit of the symbol's name and the round). A round is an exchange:
+a chunk sends its distinct words, runs and pairs to shards, once each; a shard numbers those that several documents
+have, and answers with the numbers. So equal token sequences have equal symbols in every chunk, different ones different
+symbols, and what only one document has becomes a dead symbol, which is never paired again.
+
+A symbol is interior to a window if the words that decide its place and content all lie in the window: its own, and for
+each level those of the symbol at either side. This reach is counted exactly. Equal windows have equal interior
+symbols, so a window that another document shares has no dead one. Each round drops the windows that hold a dead interior
+symbol, and the words that no window is left of; after the rounds nearly all windows that are left are shared ones. They
+are verified by their symbols of level 0, the global numbers of their WINDOW words, in a last exchange by 128 bits of them.
+
+In no exchange does a key gather rows: what is common is sent once a chunk. A round's tables go when the next is written.
+
+Defined cases: null, empty and shorter texts have no window and lose nothing; very long texts are a chunk of their own;
+repeats within one document stay; rows that share a doc_id are documents of their own in the order of digests of their
+texts, rows without an id come after all others, and rows that agree in both id and text are one document, and each gets
+its result; an empty table gives an empty result; strip_passages() passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,109 +31,313 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import _kernel as K
 from kinfold.llm import _segments as S
-from kinfold.llm._base import table
+from kinfold.llm._base import dropped, numbered, shards, stored, table
 
 NAME = "op9_passages"
 WINDOW = 13
-#: An anchor may depend on so many words, so it has WINDOW - CONTEXT + 1 places in a window.
-CONTEXT = 7
+#: Rounds after that of words. A window of 13 words holds few interior symbols of higher levels.
 ROUNDS = 2
+#: Bytes of text of one chunk; a longer document is a chunk of its own.
+CHUNK_BYTES = 6 << 20
+#: Bits of a run's length beside its symbol's number. Longer runs are in no window.
+RUN_BITS = 16
+_FAR = 1 << 40
+_ROWS = "chunk long, shard int, kind int, blob binary"
+STATE, ASKED, COVERED = range(3)
+
+
+def sides(symbols: np.ndarray, level: int) -> np.ndarray:
+    """Whether each symbol is a right one in a round."""
+    return (K.mix(symbols.astype(np.uint64) ^ K.U64(0x51ED27 + level)) & K.U64(1)).astype(bool)
+
+
+def joined(symbols: np.ndarray, first: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One round over symbols (0: dead; first: those that open a text): (place of each new symbol, x, y, whether it is a
+    new run or pair). x and y are the two runs, each a symbol and its length; y is 0 without a second one. Where
+    neighbours part is decided by these two alone."""
+    n = len(symbols)
+    opens = first.copy()
+    opens[1:] |= (symbols[1:] != symbols[:-1]) | (symbols[1:] == 0)
+    at = np.flatnonzero(opens)
+    own, length = symbols[at], np.diff(np.append(at, n))
+    right, live = sides(own, level), (own > 0) & (length < 1 << RUN_BITS)
+    pair = np.zeros(len(at) + 1, bool)
+    pair[:-2] = ~right[:-1] & right[1:] & ~first[at[1:]] & live[:-1] & live[1:]
+    lead = np.flatnonzero(~np.concatenate([[False], pair[:-2]])) if n else at
+    run = np.append(own << RUN_BITS | length, 0)
+    paired = pair[lead]
+    dead = ~live[lead]
+    x, y = np.where(dead, 0, run[lead]), np.where(paired, run[np.minimum(lead + 1, len(at))], 0)
+    return at[lead], x, y, (paired | (length[lead] > 1)) & ~dead
+
+
+class Chunk:
+    """The words of a chunk that are still in question: fragments (number of the document, place in it, words), the
+    stream of their words as numbers of `ids`, the words' global numbers, and of each level (x, y, number) of live
+    symbols."""
+
+    def __init__(self, doc, place, size, stream, ids, levels):
+        self.doc, self.place, self.size, self.stream, self.ids, self.levels = doc, place, size, stream, ids, levels
+
+    def packed(self) -> bytes:
+        words = [S.pack(self.doc, self.place, self.size), S.planes(self.stream), S.planes(self.ids)]
+        return S.bundle(*words, *[S.planes(v) for level in self.levels for v in level])
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Chunk:
+        parts = S.unbundle(blob)
+        doc, place, size = S.unpack(parts[0], "i8", "i4", "i4")
+        rest = [S.from_planes(p) for p in parts[1:]]
+        return cls(doc, place, size, rest[0], rest[1], [tuple(rest[i : i + 3]) for i in range(2, len(rest), 3)])
+
+    def grown(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words that open a window still in question, (x, y, text) of the runs and pairs of the level that has no
+        names yet)."""
+        n = len(self.stream)
+        opens = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        first = np.zeros(n, bool)
+        first[opens] = True
+        text = np.repeat(np.cumsum(np.concatenate([[True], self.doc[1:] != self.doc[:-1]])), self.size)
+        out = np.zeros(n + 1, np.int64)  # changes of the number of reasons against a window
+        symbols, low = self.ids[self.stream], np.arange(n)
+        high = low + 1
+        for level in range(1, len(self.levels) + 2):
+            dead = (symbols == 0) & (high - low <= WINDOW)
+            out += np.bincount(np.maximum(high[dead] - WINDOW, 0), minlength=n + 1) - np.bincount(low[dead] + 1, minlength=n + 1)
+            at, x, y, new = joined(symbols, first, level)
+            if level > len(self.levels):
+                break
+            # Reach: that of the neighbours as well; beyond the end of a fragment nothing is known.
+            last = np.append(first[1:], True)
+            end = np.append(at[1:], len(symbols)) - 1
+            low, high = np.where(first[at], -_FAR, low[np.maximum(at - 1, 0)]), np.where(last[end], _FAR, high[np.minimum(end + 1, len(high) - 1)])
+            symbols, first, text = symbols[at], first[at], text[at]
+            symbols[x == 0] = 0
+            symbols[new] = self._numbers(level, x[new], y[new])
+        fits = np.maximum(self.size - WINDOW + 1, 0)
+        starts = K.spread(opens, fits)
+        return starts[np.cumsum(out[:-1])[starts] == 0], (x[new], y[new], text[at[new]])
+
+    def _numbers(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Numbers of runs and pairs; 0 for what is dead."""
+        p, q, number = self.levels[level - 1]
+        if not len(p):
+            return np.zeros(len(x), np.int64)
+        known, asked = _merged(p, q), _merged(x, y)
+        order = np.argsort(known)
+        spot = order[np.minimum(np.searchsorted(known[order], asked), len(p) - 1)]
+        return np.where((p[spot] == x) & (q[spot] == y), number[spot], 0)
+
+    def narrowed(self, starts: np.ndarray) -> Chunk | None:
+        """What is left of the chunk if only the windows that start there are in question."""
+        if not len(starts):
+            return None
+        n = len(self.stream)
+        edge = np.bincount(starts, minlength=n + WINDOW) - np.bincount(starts + WINDOW, minlength=n + WINDOW)
+        kept = np.cumsum(edge)[:n] > 0
+        opens = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        begins = kept.copy()
+        begins[1:] &= ~kept[:-1]
+        begins[opens] |= kept[opens]
+        at = np.flatnonzero(begins)
+        which = np.searchsorted(opens, at, "right") - 1
+        size = np.add.reduceat(kept.astype(np.int64), at)
+        stream = self.stream[kept]
+        used = np.zeros(len(self.ids), bool)
+        used[stream] = True
+        return Chunk(self.doc[which], (self.place[which] + at - opens[which]).astype(np.int32), size.astype(np.int32), (np.cumsum(used) - 1)[stream], self.ids[used], self.levels)
+
+
+def _merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(x.astype(np.uint64)) * K.BASE + y.astype(np.uint64))
+
+
+def _distinct(x: np.ndarray, y: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one member of each group of equal (x, y), whether several texts have it). Texts are in order."""
+    order, starts = S._groups(x, y, lead=2)
+    ends = np.append(starts[1:], len(order)) - 1
+    return order[starts], text[order[starts]] != text[order[ends]]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("chunk", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())))})
+
+
+def _by_shard(names: np.ndarray, count: int):
+    """(shard, members) of each shard that occurs, in order."""
+    shard = ((names >> K.U64(33)) % K.U64(count)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0])).tolist() + [len(order)] if len(order) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(shard[order[a]]), order[a:b]
+
+
+def _asked(chunk: Chunk, pending: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, whether several texts have it) of the distinct runs and pairs, in a fixed order."""
+    x, y, text = pending
+    at, many = _distinct(x, y, text)
+    return x[at], y[at], many
+
+
+def _tokenise(count: int):
+    """row, text -> a chunk's state (its words numbered by how often they occur; the ids are their shards for now) and
+    its distinct words by shard."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, buf, offsets in K.blocks(batch.column(1), CHUNK_BYTES):
+                start, end, bounds = K.words(buf, offsets)
+                size = np.diff(bounds)
+                if size.max(initial=0) < WINDOW:
+                    continue
+                names = K.name(buf, start, end)
+                text = np.repeat(np.arange(len(size)), size)
+                order = np.argsort(names, kind="stable")
+                cut = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]]))
+                often = np.diff(np.append(cut, len(order)))
+                rank = np.argsort(-often, kind="stable")
+                place = np.empty(len(rank), np.int64)
+                place[rank] = np.arange(len(rank))
+                stream = np.empty(len(order), np.int64)
+                stream[order] = np.repeat(place, often)
+                one, final = order[cut][rank], order[np.append(cut[1:], len(order)) - 1][rank]
+                many = text[one] != text[final]
+                home = np.empty(len(one), np.int64)
+                rows = []
+                for shard, own in _by_shard(names[one], count):
+                    home[own] = shard
+                    a, b = start[one[own]], end[one[own]]
+                    data = buf[K.spread(a, b - a)].tobytes()
+                    rows.append((number, shard, ASKED, S.bundle(S.pack((b - a).astype(np.int32), many[own].astype(np.int8)), pa.compress(data, codec="zstd", asbytes=True), len(data).to_bytes(8, "little"))))
+                full = size > 0
+                chunk = Chunk(ids[at : at + len(size)][full], np.zeros(int(full.sum()), np.int32), size[full].astype(np.int32), stream, home, [])
+                yield _table([(number, None, STATE, chunk.packed()), *rows]).to_batches()[0]
+                number += 1
+
+    return run
+
+
+def _named(level: int, count: int):
+    """The words (level 0), or runs and pairs, of one shard -> each chunk's numbers of them, in the order asked; 0 for
+    what one document alone has. Numbers of levels and shards differ."""
+
+    def run(one: pa.Table) -> pa.Table:
+        parts, shard = [], one.column("shard")[0].as_py()
+        for blob in one.column("blob").to_pylist():
+            own = S.unbundle(blob)
+            if level:
+                parts.append((S.from_planes(own[0]), S.from_planes(own[1]), S.unpack(own[2], "i1")[0]))
+            else:
+                size, many = S.unpack(own[0], "i4", "i1")
+                buf = np.frombuffer(pa.decompress(own[1], decompressed_size=int.from_bytes(own[2], "little"), codec="zstd", asbytes=True), np.uint8)
+                end = np.cumsum(size.astype(np.int64))
+                parts.append((*(K.name(buf, end - size, end, seed) for seed in (1, 2)), many))
+        x, y, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order, starts = S._groups(x, y, lead=2)
+        times = np.diff(np.append(starts, len(order)))
+        live = (times > 1) | (np.add.reduceat(many[order], starts, dtype=np.int64) > 0)
+        number = np.where(live, ((np.cumsum(live) - 1) * count + shard) * (ROUNDS + 1) + level + 1, 0)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(number, times)
+        rows, at = [], 0
+        for chunk, part in zip(one.column("chunk").to_pylist(), parts, strict=True):
+            rows.append((chunk, shard, ASKED, S.planes(out[at : at + len(part[0])])))
+            at += len(part[0])
+        return _table(rows)
+
+    return run
+
+
+def _advance(level: int, count: int):
+    """A chunk's state and the answers to what it asked -> its next state and questions; after the last round the
+    windows that are left, by shard, and those that repeat one of a document before it in the chunk."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table([])
+        number, chunk = left.column("chunk")[0].as_py(), Chunk.unpacked(left.column("blob")[0].as_py())
+        answers = dict(zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True))
+        if not level:
+            home, chunk.ids = chunk.ids, np.zeros(len(chunk.ids), np.int64)
+            for shard, blob in answers.items():
+                chunk.ids[home == shard] = S.from_planes(blob)
+        else:
+            x, y, _ = _asked(chunk, chunk.grown()[1])
+            given = np.zeros(len(x), np.int64)
+            for shard, own in _by_shard(_merged(x, y), count):
+                given[own] = S.from_planes(answers[shard])
+            chunk.levels.append((x[given > 0], y[given > 0], given[given > 0]))
+        chunk = chunk.narrowed(chunk.grown()[0])
+        if chunk is None:
+            return _table([])
+        starts, pending = chunk.grown()
+        if level == ROUNDS:
+            return _windows(number, chunk, starts, count)
+        x, y, many = _asked(chunk, pending)
+        rows = [(number, None, STATE, chunk.packed())]
+        for shard, own in _by_shard(_merged(x, y), count):
+            rows.append((number, shard, ASKED, S.bundle(S.planes(x[own]), S.planes(y[own]), S.pack(many[own].astype(np.int8)))))
+        return _table(rows)
+
+    return run
 
 
-def _side(names: np.ndarray, level: int) -> np.ndarray:
-    return (K.mix(names ^ K.U64(0x51ED27 + level)) & K.U64(1)).astype(bool)
-
-
-def recompress(names: np.ndarray, bounds: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One round over the symbols of documents (bounds: first symbol of each): (first symbol of each new one, names,
-    whether it is a run or pair). Whether two neighbours part depends on nothing but these two."""
-    n = len(names)
-    part = np.ones(n, bool)  # a new symbol begins here
-    right = _side(names, level)
-    part[1:] = (names[1:] != names[:-1]) & ~(~right[:-1] & right[1:])
-    run = np.ones(n, bool)
-    run[1:] = names[1:] != names[:-1]
-    part[bounds[bounds < n]] = True
-    run[bounds[bounds < n]] = True
-    at = np.flatnonzero(part)
-    # Runs first: (symbol, length); then the pair of runs that share a new symbol.
-    runs = np.flatnonzero(run)
-    length = np.diff(np.append(runs, n)).astype(np.uint64)
-    named = np.where(length == 1, names[runs], K.mix(names[runs] * K.BASE + length + K.U64(level)))
-    first = np.searchsorted(runs, at)
-    pairs = np.diff(np.append(first, len(runs))) == 2
-    out = named[first].copy()
-    out[pairs] = K.mix(K.mix(named[first[pairs]]) * K.BASE + named[first[pairs] + 1])
-    return at, out, np.diff(np.append(at, n)) > 1
-
-
-def anchors(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Priority of each word place to be an anchor: symbols of higher levels go before lower ones."""
-    n = len(words)
-    priority = (K.mix(words) >> K.U64(2)) | K.U64(3 << 62)
-    start, names, first = np.arange(n), words, bounds
-    for level in range(1, ROUNDS + 1):
-        at, new, joined = recompress(names, first, level)
-        begin = start[at]
-        # A symbol depends on the symbols of the level below at its sides and, for those, on a word beyond them.
-        below = np.append(start, n)
-        last = np.append(at[1:], len(start))
-        low = below[np.maximum(at - 1, 0)] - (level > 1)
-        high = below[np.minimum(last + 1, len(start))] + (level > 1)
-        own = np.searchsorted(bounds, begin, "right") - 1
-        fits = joined & (at > 0) & (last < len(start)) & (low >= bounds[own]) & (high <= bounds[np.minimum(own + 1, len(bounds) - 1)]) & (high - low <= CONTEXT)
-        priority[low[fits]] = (K.mix(new[fits]) >> K.U64(2)) | K.U64((3 - level) << 62)
-        start, names = begin, new
-        first = np.searchsorted(begin, bounds)
-    return priority
-
-
-def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start, end, bounds = K.words(buf, offsets)
-    return K.name(K.running(buf), start, end) if len(start) else np.empty(0, np.uint64), bounds
-
-
-def _sums(words: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * K._powers(len(words) + 1)[0][: len(words)], out=sums[1:])
-    return sums
-
-
-def cutter(buf: np.ndarray, offsets: np.ndarray):
-    words, bounds = _words(buf, offsets)
-    doc, start, n, place = S.anchored(anchors(words, bounds), bounds, WINDOW - CONTEXT + 1, WINDOW)
-    if not len(doc):
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
-    sums = _sums(words)
-    key = K.name(sums, place, place + CONTEXT)
-    content = K.mix(K.name(sums, start, start + n + WINDOW - 1) + (place - start).astype(np.uint64))
-    return key, content, doc, start - bounds[doc], n
-
-
-def reader(data: bytes, pos: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Names of the windows of each segment."""
-    words, _ = _words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    names = K.runs_of(words, WINDOW)
-    return [names[p : p + k].tobytes() for p, k in zip(pos.tolist(), n.tolist(), strict=True)]
-
-
-def comparer(key, doc, pos, n, payloads):
-    """Windows are equal if their names and their anchors' names are."""
-    if not len(key):
-        return (np.empty(0, np.int64),) * 3
-    n = n.astype(np.int64)
-    window = np.frombuffer(b"".join(payloads), np.uint64)
-    docs, places = np.repeat(doc, n), K.spread(pos.astype(np.int64), n)
-    order, starts = S._groups(window, np.repeat(key, n), docs)
-    keys = np.repeat(key, n)[order]
-    cut = np.zeros(len(order), bool)
-    cut[starts] = True
-    cut[1:] |= keys[1:] != keys[:-1]
-    at = np.flatnonzero(cut)
-    least = np.repeat(docs[order][at], np.diff(np.append(at, len(order))))
-    late = docs[order] > least
-    docs, places = docs[order][late], places[order][late]
-    return docs, places, np.ones(len(docs), np.int64)
+def _windows(number: int, chunk: Chunk, starts: np.ndarray, count: int) -> pa.Table:
+    words = chunk.ids[chunk.stream].astype(np.uint64)
+    names = [K.runs_of(K.mix(words ^ K.U64(seed)), WINDOW)[starts] for seed in (1, 2)]
+    opens = np.concatenate([[0], np.cumsum(chunk.size)[:-1]])
+    which = np.searchsorted(opens, starts, "right") - 1
+    doc, pos = chunk.doc[which], (chunk.place[which] + starts - opens[which]).astype(np.int32)
+    kept, covered = S._first_of(*names, doc, pos, across=True)
+    kept = np.sort(kept)
+    rows = [(number, None, COVERED, S.pack(doc[covered], pos[covered]))] if len(covered) else []
+    for shard, own in _by_shard(names[0][kept], count):
+        own = kept[own]
+        rows.append((number, shard, ASKED, S.pack(names[0][own], names[1][own], doc[own], pos[own])))
+    return _table(rows)
+
+
+def _verified(one: pa.Table) -> pa.Table:
+    """The windows of one shard -> of each chunk those that also start in an earlier document."""
+    chunks, parts = one.column("chunk").to_pylist(), [S.unpack(b, "u8", "u8", "i8", "i4") for b in one.column("blob").to_pylist()]
+    a, b, doc, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    _, covered = S._first_of(a, b, doc, pos, across=True)
+    covered = np.sort(covered)
+    cuts = np.searchsorted(covered, np.cumsum([0] + [len(p[0]) for p in parts]))
+    rows = [(chunk, None, COVERED, S.pack(doc[covered[i:j]], pos[covered[i:j]])) for chunk, i, j in zip(chunks, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if j > i]
+    return _table(rows)
+
+
+def _spans(one: pa.Table) -> pa.Table:
+    """The covered windows of one chunk, as runs."""
+    parts = [S.unpack(b, "i8", "i4") for b in one.column("blob").to_pylist()]
+    doc, pos = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1)]))
+    last = np.append(first[1:], len(doc)) - 1
+    return pa.Table.from_batches([S._batch(list(S._rows(1, doc[first], [pos[first].astype(np.int32), (pos[last] - pos[first] + 1).astype(np.int32)])), "g kind blob")])
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Packed marks (g, blob of S.COVERED) of the windows of docs(row, text) that also start in an earlier row."""
+    count = shards(docs)
+    rounds = stored(docs.select("row", "text").mapInArrow(_tokenise(count), _ROWS), "words")
+    for level in range(ROUNDS + 1):
+        answers = rounds.where(F.col("kind") == ASKED).groupBy("shard").applyInArrow(_named(level, count), _ROWS)
+        states = rounds.where(F.col("kind") == STATE).groupBy("chunk")
+        after = stored(states.cogroup(answers.groupBy("chunk")).applyInArrow(_advance(level, count), _ROWS), f"round-{level}")
+        dropped(rounds)
+        rounds = after
+    verified = rounds.where(F.col("kind") == ASKED).groupBy("shard").applyInArrow(_verified, _ROWS)
+    found = verified.unionByName(rounds.where(F.col("kind") == COVERED)).groupBy("chunk").applyInArrow(_spans, S.MARK)
+    marks = stored(found.select("g", "blob"), "covered")
+    dropped(rounds)
+    return marks
 
 
 def _flags(count: int, pos: np.ndarray, n: np.ndarray, reach: int) -> np.ndarray:
@@ -165,7 +374,7 @@ def _strip(extra: tuple[str, ...]):
                 words = text.encode().split()
                 text = b" ".join(words[j] for j in np.flatnonzero(~_flags(len(words), pos, n, WINDOW)).tolist()).decode()
             out.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), *[batch.column(c) for c in extra]], ["doc_id", "text", *extra])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *[batch.column(c) for c in extra]], ["text", *extra])
 
     return run
 
@@ -173,20 +382,18 @@ def _strip(extra: tuple[str, ...]):
 def strip_passages(docs: DataFrame) -> DataFrame:
     """docs without the words covered by a window that also starts in a document of smaller doc_id. Texts that lose
     nothing stay as they are; of others, the words left are joined by single spaces."""
-    docs = S.one_row_an_id(docs)
-    marks = S.covered_windows(docs, cutter, reader, comparer, across=True)
-    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    safe = [f"_{i}" for i in range(len(extra))]  # names that cannot clash with the marks' own
-    named = docs.select("doc_id", "text", *[F.col(c).alias(s) for c, s in zip(extra, safe, strict=True)])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
-    out = S.with_marks(named, marks, _strip(tuple(safe)), S.COVERED, schema, tuple(safe))
-    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(safe[extra.index(c)]).alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    safe = [f"_{i}" for i in range(len(others))]  # names that cannot clash with those used here
+    rows, _ = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("others")))
+    rows = rows.select("row", "text", *[F.col("others")[c].alias(s) for c, s in zip(others, safe, strict=True)])
+    schema = ", ".join(["text string", *[f"`{s}` {rows.schema[s].dataType.simpleString()}" for s in safe]])
+    out = S.with_marks(rows, repeats(rows), _strip(tuple(safe)), S.COVERED, schema, tuple(safe))
+    return out.select(*[F.col("text" if c == "text" else safe[others.index(c)]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = S.one_row_an_id(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    marks = S.covered_windows(docs, cutter, reader, comparer, across=True)
-    return S.with_marks(docs, marks, _digest, S.COVERED, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    docs, _ = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return S.with_marks(docs, repeats(docs), _digest, S.COVERED, "doc_id long, n_words long, n_removed long, kept_sha256 string", ("doc_id",))
 
 
 ORACLE_SQL = r"""

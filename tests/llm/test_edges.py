@@ -48,16 +48,45 @@ def test_kernel():
     found = [[bytes(buf[s:e]) for s, e in zip(start[a:b], end[a:b], strict=True)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert found == [(t or "").encode().split() for t in texts]
     assert [b[0] for b in K.blocks(pa.array(texts, pa.string()), 4)][0] == at == 0
-    sums = K.running(np.frombuffer(b"abcabcab", np.uint8))
-    names = K.names_of_length(sums, 3)
+    data = np.frombuffer(b"abcabcab", np.uint8)
+    names = K.names_of_length(data, 3)
     assert names[0] == names[3] and len(set(names.tolist())) == 3
-    assert K.name(sums, np.array([0]), np.array([3]))[0] != K.name(sums, np.array([1]), np.array([4]))[0]
+    assert K.name(data, np.array([0]), np.array([3]))[0] != K.name(data, np.array([1]), np.array([4]))[0]
+    for size in range(1, 20):
+        rng = random.Random(size)
+        parts = [bytes(rng.choice(b"ab") for _ in range(size)) for _ in range(40)]
+        joined = np.frombuffer(b"".join(parts), np.uint8)
+        named = K.name(joined, np.arange(40) * size, np.arange(1, 41) * size).tolist()
+        assert len(set(named)) == len(set(zip(parts, named, strict=True))) == len(set(parts))
+        names = K.names_of_length(joined, size).tolist()
+        assert len(set(names)) == len({bytes(joined[i : i + size]) for i in range(len(names))})
     keys = np.random.default_rng(1).integers(0, 9, 50).astype(np.uint64)
     for w in (1, 3, 7, 50):
         assert K.window_minimum(keys, w).tolist() == [int(keys[i : i + w].min()) for i in range(len(keys) - w + 1)]
     assert K.spread(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
 
 
+def thue_morse(n):
+    """Two texts of n letters that every polynomial modulo 2**64 gives one name to, from 2048 letters on."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_regular_words(spark, docs, folder, n):
+    a, b = thue_morse(n)
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    assert K.name(data, np.array([0]), np.array([n]))[0] != K.name(data, np.array([n]), np.array([2 * n]))[0]
+    rows = [(1, a), (2, b), (3, f"{text(6, 1)} {a}"), (4, f"{text(6, 1)} {b}")]
+    got = {r["doc_id"]: r["component_id"] for r in op10_near_duplicates.near_duplicates(docs(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    sf = folder(documents=docs(rows))
+    assert {r[0]: tuple(r[1:]) for r in op9_passages.query(spark, sf).collect()} == brute_passages(rows)
+    assert {r[0]: tuple(r[1:]) for r in op8_substrings.query(spark, sf).collect()} == brute_substrings(rows)
+    scored = op7_lm_scoring.score(docs(rows).withColumn("train", F.col("doc_id") == 1)).collect()
+    assert {r["doc_id"]: r["n_known"] for r in scored} == {1: 2, 2: 1, 3: 2, 4: 1}
+
+
 def test_fingerprints(spark, docs):
     rows = [(1, None), (2, ""), (3, "One. Two!\n\nThree?\nFour"), (3, "One. Two!\n\nThree?\nFour"), (None, "lost"), (5, "x" * 5000)]
     for ranges in (1, 4, 50):
@@ -81,6 +110,10 @@ def test_decontamination(spark, docs):
     rows = [(1, f"{phrase} XI!"), (2, "a rare-short b"), (3, None), (4, ""), (5, "alpha beta gamma"), (6, "word " * 500 + phrase), (7, f"{phrase} XI!"), (7, f"{phrase} XI!")]
     got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in op2_decontamination.decontaminate(docs(rows), items).collect())
     assert got == [(1, 14, 14, "1,5", True), (2, 4, 2, "2", True), (3, 0, 0, "", False), (4, 0, 0, "", False), (5, 3, 0, "", False), (6, 513, 13, "1,5", False), (7, 14, 14, "1,5", True), (7, 14, 14, "1,5", True)]
+    whole = op2_decontamination.stored(op2_decontamination.index(docs(rows)), "index")
+    assert whole.count() == sum(r[1] for r in got) + len(got)
+    again = op2_decontamination.decontaminate(docs(rows), items, postings=whole).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in again) == got
     assert {r["n_hit"] for r in op2_decontamination.decontaminate(docs(rows), items.limit(0)).collect()} == {0}
     assert op2_decontamination.decontaminate(docs(rows).limit(0), items).count() == 0
     keyed = spark.createDataFrame([(1, ["gamma", "beta"])], "phrase_id long, phrase array<string>")
@@ -91,9 +124,10 @@ def test_decontamination(spark, docs):
 
 def test_language(spark, docs):
     model = op3_language.learn([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)
-    rows = [(1, None), (2, ""), (3, "123 !!"), (4, "the dog"), (5, "die katze und der hund " * 3000), (5, "the"), (None, "und der")]
+    rows = [(1, None), (2, ""), (3, "123 !!"), (4, "the dog"), (5, "die katze und der hund " * 3000), (5, "the"), (None, "und der"), (6, "½ ² ① Ⅷ ٣"), (7, "der\nhund\n" * 5000), (8, "²the ½dog")]
     got = sorted((r["doc_id"] or 0, r["lang_pred"]) for r in op3_language.identify(docs(rows), model).collect())
-    assert got == [(0, "de"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "de"), (5, "en")]
+    assert got == [(0, "de"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "de"), (5, "en"), (6, "und"), (7, "de"), (8, "en")]
+    assert len(op3_language.training_sample(docs([(1, f"text {i}") for i in range(9)] + [(2, "b")]))) == 2
     assert {r["lang_pred"] for r in op3_language.identify(docs(rows), None).collect()} == {"und"}
     assert op3_language.identify(docs(rows).limit(0), model).count() == 0
     labels = [lang for _, lang, _ in op3_language.words(model, "the dog and the cat der hund und die katze")]
@@ -141,14 +175,22 @@ def test_mixing(spark, docs):
 
 
 def test_warc(spark, tmp_path):
-    rows = [(3, "http://a", "x" * 100), (1, "http://b", "x" * 100), (2, None, None), (4, "http://c\r\nX: y", ""), (5, "http://d", "é" * 70000), (5, "http://d", "é" * 70000), (6, "u", "short"), (7, "u", "short"), (None, "u", "lost")]
+    rows = [(3, "http://a", "x" * 100), (1, "http://b", "x" * 100), (2, None, None), (4, "http://c\r\nX: y", ""), (5, "http://d", "é" * 70000), (5, "http://d", "é" * 70000), (6, "u", "short"), (7, "u", "short")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     manifest = op5_warc.write_warc(pages, f"file://{tmp_path}/w", min_revisit=50, roll_bytes=300, ranges=2)
-    got = {r["page_id"]: r for r in op5_warc.read_warc(spark, manifest, payload=True).collect()}
-    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7]
+    read = op5_warc.read_warc(spark, manifest, payload=True).collect()
+    got = {r["page_id"]: r for r in read if r["page_id"] != 5 or r["record_type"] == "response"}
+    assert sorted(r["page_id"] for r in read) == [1, 2, 3, 4, 5, 5, 6, 7] and len({(r["file"], r["offset"]) for r in read}) == len(read)
+    assert [(r["refers_to"], r["payload_bytes"]) for r in read if r["page_id"] == 5 and r["record_type"] == "revisit"] == [(5, 140000)]
     assert (got[3]["record_type"], got[3]["refers_to"], got[3]["payload_bytes"]) == ("revisit", 1, 100)
     assert [got[i]["record_type"] for i in (1, 2, 4, 5, 6, 7)] == ["response"] * 6
     assert bytes(got[5]["payload"]) == ("é" * 70000).encode() and got[2]["payload_bytes"] == 0
+    odd = [(None, "a", "x"), (None, "a", "x"), (None, "b", "yy"), (4, "c", "x"), (4, "c", "z"), (4, "d", "z"), (2, "e", None), (2, "e", None), (2, "e", "")]
+    frame = spark.createDataFrame(odd, "page_id long, url string, html string").withColumn("row", F.lit("r")).withColumn("copy", F.lit(1)).withColumn("kind", F.lit("k"))
+    back = op5_warc.read_warc(spark, op5_warc.write_warc(frame, f"file://{tmp_path}/o"), payload=True).collect()
+    assert sorted((r["page_id"] or 0, r["payload_bytes"]) for r in back) == sorted((p or 0, len(h or "")) for p, _, h in odd)
+    assert sorted((r["payload_bytes"], r["page_id"]) for r in back if r["record_type"] == "response" and r["payload_bytes"] < 2) == [(0, 2), (1, 4), (1, 4)]
+    assert {(r["page_id"], r["refers_to"]) for r in back if r["record_type"] == "revisit"} == {(2, 2), (4, 4), (None, 4)}
     files = sorted((tmp_path / "w").glob("*.gz"))
     assert len(files) > 2 and not list((tmp_path / "w").glob("_temporary*"))
     again = op5_warc.write_warc(pages.repartition(3), f"file://{tmp_path}/v", min_revisit=50, roll_bytes=300, ranges=2)
@@ -211,13 +253,14 @@ def test_substrings(spark, docs):
     want = brute_substrings(rows)
     out = op8_substrings.strip_substrings(docs(rows))
     got = {r["doc_id"]: r["text"] for r in out.collect()}
-    marks = op8_substrings.S.covered_windows(docs(rows), op8_substrings.cutter, op8_substrings.reader, op8_substrings.comparer, False)
-    digests = op8_substrings.S.with_marks(docs(rows), marks, op8_substrings._digest, op8_substrings.S.COVERED, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    digests = op8_substrings._applied(docs(rows), op8_substrings._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     assert {r[0]: tuple(r[1:]) for r in digests.collect()} == want
     assert got[1] is None and got[2] == "" and got[7] == "" or len(rows[6][1].encode()) < 100
     assert op8_substrings.strip_substrings(docs(rows).limit(0)).count() == 0
-    twice = op8_substrings.strip_substrings(docs([(1, "a" * 150), (1, "a" * 150), (None, "b" * 150), (None, "b" * 150)])).collect()
-    assert sorted(r["text"][0] for r in twice) == ["a", "b", "b"]
+    # Rows of one id and text are one document; of one id alone, documents of their own; those without an id come last.
+    odd = [(1, "a" * 150), (1, "a" * 150), (1, "c" + "b" * 140), (None, "b" * 150), (None, "d" * 99), (None, None)]
+    twice = op8_substrings.strip_substrings(docs(odd)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in twice) == [(0, ""), (0, ""), (0, "d" * 99), (1, "a"), (1, "a"), (1, "cb")]
 
 
 def test_equal_windows():
@@ -255,11 +298,51 @@ def test_passages(spark, docs, folder):
     out = op9_passages.strip_passages(docs(rows))
     assert out.columns == docs(rows).columns and {r["kind"] for r in out.collect()} == {"a"}
     assert op9_passages.strip_passages(docs(rows).limit(0)).count() == 0
+    shared = text(20, 41)
+    odd = [(1, shared), (1, shared), (1, f"x {shared}"), (None, f"{shared} y"), (None, "z"), (2, shared), (None, None)]
+    got = op9_passages.strip_passages(docs(odd)).collect()
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in got)
+    assert left[:3] == [(0, ""), (0, "y"), (0, "z")] and left[6:] == [(2, "")]
+    assert sorted(t for _, t in left[3:6]) in (sorted([shared, shared, "x"]), sorted(["", "", f"x {shared}"]))
     rng = random.Random(9)  # few words, so that anchors meet by chance
     tight = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(5, 120)))) for i in range(60)]
     assert {r[0]: tuple(r[1:]) for r in op9_passages.query(spark, folder(documents=docs(tight))).collect()} == brute_passages(tight)
 
 
+def test_recompression(spark, docs):
+    """Symbols are global numbers: equal ones stand for equal words in every chunk, whatever stands around them."""
+    rng = random.Random(3)
+    base = [text(200, 50 + i).split() for i in range(4)]
+    rows = [(i, " ".join(base[i % 4][rng.randrange(50) :] + text(30, 700 + i).split())) for i in range(24)]
+    split = dict((i, t.split()) for i, t in rows)
+    df = docs(rows, 6).withColumn("row", F.col("doc_id"))
+    count = 5
+    table = op9_passages.stored(df.select("row", "text").mapInArrow(op9_passages._tokenise(count), op9_passages._ROWS), "t")
+    meaning: dict[int, tuple] = {}
+    for level in range(op9_passages.ROUNDS + 1):
+        answers = table.where("kind = 1").groupBy("shard").applyInArrow(op9_passages._named(level, count), op9_passages._ROWS)
+        states = table.where("kind = 0").groupBy("chunk")
+        table = op9_passages.stored(states.cogroup(answers.groupBy("chunk")).applyInArrow(op9_passages._advance(level, count), op9_passages._ROWS), "t")
+        if level == op9_passages.ROUNDS:
+            break
+        chunks = [op9_passages.Chunk.unpacked(bytes(r["blob"])) for r in table.where("kind = 0").collect()]
+        assert len(chunks) > 1
+        for chunk in chunks:
+            at = 0
+            for doc, place, size in zip(chunk.doc.tolist(), chunk.place.tolist(), chunk.size.tolist(), strict=True):
+                for i in range(size):
+                    symbol = int(chunk.ids[chunk.stream[at + i]])
+                    assert symbol == 0 or meaning.setdefault(symbol, (split[doc][place + i],)) == (split[doc][place + i],)
+                at += size
+            for x, y, number in zip(*(v.tolist() for lv in chunk.levels for v in lv), strict=True) if len(chunk.levels) == 1 else []:
+                runs = [(v >> op9_passages.RUN_BITS, v & 0xFFFF) for v in (x, y) if v]
+                words = tuple(w for s, n in runs for w in meaning[s] * n)
+                assert meaning.setdefault(number, words) == words
+    assert len(set(meaning.values())) == len(meaning) and any(len(w) > 1 for w in meaning.values())
+    windows = [op9_passages.S.unpack(bytes(r["blob"]), "u8", "u8", "i8", "i4") for r in table.where("kind = 1").collect()]
+    assert windows and all(split[d][p : p + 13] in [o[i : i + 13] for e, o in split.items() if e != d for i in range(len(o) - 12)] for w in windows for d, p in list(zip(w[2].tolist(), w[3].tolist(), strict=True))[:3])
+
+
 def brute_near(rows, n=4, percent=80):
     sets = {}
     for d, t in rows:
@@ -296,8 +379,9 @@ def test_near_duplicates(spark, docs):
     five = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op10_near_duplicates.near_duplicates(docs(rows), size=5).collect()}
     assert five == brute_near(rows, 5)
     assert op10_near_duplicates.near_duplicates(docs(rows).limit(0)).count() == 0
-    odd = {r["doc_id"]: r["component_id"] for r in op10_near_duplicates.near_duplicates(docs([(1, "a b"), (1, "a b"), (2, "A  b"), (None, "a b")])).collect()}
-    assert odd == {1: 1, 2: 1, None: None}
+    odd = [(1, "a b"), (1, "a b"), (1, "c d"), (2, "A  b"), (None, "a b"), (None, "e"), (None, "E"), (None, None), (3, "c d")]
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in op10_near_duplicates.near_duplicates(docs(odd)).collect())
+    assert got == [(0, 0, False), (0, 0, True), (0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
 
 
 def test_many_languages(spark, docs):
