@@ -12,8 +12,9 @@ the section's digest, `:`, and its paragraphs parted by `,`, each the first 8 di
 Likeness of two fingerprints: 2 * shared / all over their distinct leaf prefixes; 1 for equal fingerprints.
 
 Defined cases: a null text is an empty one, and an empty text has no leaves; rows with equal doc_id are ordered by
-text, descending; null ids come last in descending order; a single row is its own next document; an empty table
-gives an empty result; columns other than those selected here are not touched.
+text, descending; ids are whole numbers, and null ids come last in descending order; a single row is its own next
+document; very long texts are fingerprinted whole; an empty table gives an empty result; columns other than those
+selected here are not touched.
 """
 
 from __future__ import annotations
@@ -106,9 +107,12 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     # As many rows as ranges, of three numbers.
     heads = rows.join(F.broadcast(highest.withColumnRenamed("range", "head_range")), (F.col("range") == F.col("head_range")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
     heads = heads.groupBy("range").agg(F.max("text").alias("text"))
+    # The order of the ranges is found from their numbers alone; the texts follow by a join.
     down = Window.partitionBy(F.lit(0)).orderBy(F.col("range").desc())
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marks = heads.select(F.lit(None).cast("bigint").alias("doc_id"), F.coalesce(F.lead("text").over(down), F.first("text").over(whole)).alias("text"), "range", F.lit(1).alias("mark"))
+    after = highest.select("range", F.coalesce(F.lead("range").over(down), F.first("range").over(whole)).alias("next_range"))
+    marks = heads.withColumnRenamed("range", "next_range").join(F.broadcast(after), "next_range")
+    marks = marks.select(F.lit(None).cast("bigint").alias("doc_id"), "text", "range", F.lit(1).alias("mark"))
     order = Window.partitionBy("range").orderBy("mark", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     both = rows.withColumn("mark", F.lit(0)).unionByName(marks)
     return both.withColumn("next_text", F.lead("text").over(order)).where("mark = 0").select("doc_id", "text", "next_text")
