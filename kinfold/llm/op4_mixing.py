@@ -10,7 +10,7 @@ which it is used up gives only its first words, so what a source takes is its ta
 No source meets in one task: the order within a source is cut at the first hex digits of the digest, sums are taken
 for each cut (bounded number), and only the cut that holds the end of the sample is ordered row by row.
 
-Defined cases: null or blank text has size 0 and takes 0; a null source is a source, last in order; a repeated row is
+Defined cases: null or blank text has size 0 and takes 0; very long texts count whole; a null source is a source, last in order; a repeated row is
 a document of its own (rows that are equal in the digest are ordered by size and text, and are interchangeable);
 an empty table gives an empty result; extra columns pass through mix(), its own columns start with `mix_`.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._base import WORD, table
+from kinfold.llm._base import WORD, broadcast_if_small, stored, table
 
 NAME = "op4_mixing"
 CUT_DIGITS = 4
@@ -68,9 +68,9 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (5, 2, 1),
     placed = cuts.withColumn("mix_before", F.coalesce(F.sum("mix_cut_size").over(order), F.lit(0))).withColumnRenamed("mix_source", "mix_s")
     edge = sources.join(placed, F.col("mix_source").eqNullSafe(F.col("mix_s"))).where((F.col("mix_before") <= F.col("mix_left")) & (F.col("mix_left") < F.col("mix_before") + F.col("mix_cut_size")))
     edge = edge.select(F.col("mix_s").alias("mix_edge_source"), F.col("mix_cut").alias("mix_edge"), (F.col("mix_left") - F.col("mix_before")).alias("mix_edge_left"))
-    plan = sources.join(edge, F.col("mix_source").eqNullSafe(F.col("mix_edge_source")), "left").drop("mix_edge_source")
-    # A row per source: its count is that of the sources, which a mixture lists by name.
-    joined = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
+    plan = stored(sources.join(edge, F.col("mix_source").eqNullSafe(F.col("mix_edge_source")), "left").drop("mix_edge_source"), "mixture-plan")
+    # A row per source: few if a mixture lists them by name, many if they are hosts.
+    joined = sized.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
     inside = F.col("mix_edge").isNull() | (cut < F.col("mix_edge"))
     clear = joined.where(~F.coalesce(cut == F.col("mix_edge"), F.lit(False)))
     clear = clear.withColumn("mix_extra", F.when(inside & (F.col("mix_left") > 0), F.col("mix_size")).otherwise(F.lit(0)).cast("long"))
