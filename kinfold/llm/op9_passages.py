@@ -78,6 +78,7 @@ class Chunk:
 
     def __init__(self, doc, place, size, stream, ids, levels):
         self.doc, self.place, self.size, self.stream, self.ids, self.levels = doc, place, size, stream, ids, levels
+        self.front: tuple | None = None  # what grown() has reached; not part of the state that is sent
 
     def packed(self) -> bytes:
         words = [S.pack(self.doc, self.place, self.size), S.planes(self.stream), S.planes(self.ids)]
@@ -95,18 +96,14 @@ class Chunk:
         names yet)."""
         n = len(self.stream)
         opens = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
-        first = np.zeros(n, bool)
-        first[opens] = True
-        text = np.repeat(np.cumsum(np.concatenate([[True], self.doc[1:] != self.doc[:-1]])), self.size)
-        out = np.zeros(n + 1, np.int64)  # changes of the number of reasons against a window
-        symbols, low = self.ids[self.stream], np.arange(n)
-        high = low + 1
-        for level in range(1, len(self.levels) + 2):
-            dead = (symbols == 0) & (high - low <= WINDOW)
-            out += np.bincount(np.maximum(high[dead] - WINDOW, 0), minlength=n + 1) - np.bincount(low[dead] + 1, minlength=n + 1)
-            at, x, y, new = joined(symbols, first, level)
-            if level > len(self.levels):
-                break
+        if self.front is None:
+            first = np.zeros(n, bool)
+            first[opens] = True
+            text = np.repeat(np.cumsum(np.concatenate([[True], self.doc[1:] != self.doc[:-1]])), self.size)
+            out = np.zeros(n + 1, np.int64)  # changes of the number of reasons against a window
+            self._reach(1, self.ids[self.stream], first, text, np.arange(n), np.arange(1, n + 1), out)
+        while self.front[0] <= len(self.levels):
+            level, symbols, first, text, low, high, out, (at, x, y, new) = self.front
             # Reach: that of the neighbours as well; beyond the end of a fragment nothing is known.
             last = np.append(first[1:], True)
             end = np.append(at[1:], len(symbols)) - 1
@@ -114,9 +111,16 @@ class Chunk:
             symbols, first, text = symbols[at], first[at], text[at]
             symbols[x == 0] = 0
             symbols[new] = self._numbers(level, x[new], y[new])
-        fits = np.maximum(self.size - WINDOW + 1, 0)
-        starts = K.spread(opens, fits)
-        return starts[np.cumsum(out[:-1])[starts] == 0], (x[new], y[new], text[at[new]])
+            self._reach(level + 1, symbols, first, text, low, high, out)
+        out, (at, x, y, new) = self.front[6:]
+        starts = K.spread(opens, np.maximum(self.size - WINDOW + 1, 0))
+        return starts[np.cumsum(out[:-1])[starts] == 0], (x[new], y[new], self.front[3][at[new]])
+
+    def _reach(self, level: int, symbols, first, text, low, high, out) -> None:
+        """Counts the windows that hold a dead interior symbol, and finds the runs and pairs of a level."""
+        dead = (symbols == 0) & (high - low <= WINDOW)
+        out += np.bincount(np.maximum(high[dead] - WINDOW, 0), minlength=len(out)) - np.bincount(low[dead] + 1, minlength=len(out))
+        self.front = (level, symbols, first, text, low, high, out, joined(symbols, first, level))
 
     def _numbers(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Numbers of runs and pairs; 0 for what is dead."""
@@ -172,7 +176,7 @@ def _by_shard(names: np.ndarray, count: int):
         yield int(shard[order[a]]), order[a:b]
 
 
-def _asked(chunk: Chunk, pending: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _asked(pending: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, whether several texts have it) of the distinct runs and pairs, in a fixed order."""
     x, y, text = pending
     at, many = _distinct(x, y, text)
@@ -266,18 +270,18 @@ def _advance(level: int, count: int):
             for shard, blob in answers.items():
                 chunk.ids[home == shard] = S.from_planes(blob)
         else:
-            x, y, _ = _asked(chunk, chunk.grown()[1])
+            x, y, _ = _asked(chunk.grown()[1])
             given = np.zeros(len(x), np.int64)
             for shard, own in _by_shard(_merged(x, y), count):
                 given[own] = S.from_planes(answers[shard])
             chunk.levels.append((x[given > 0], y[given > 0], given[given > 0]))
-        chunk = chunk.narrowed(chunk.grown()[0])
-        if chunk is None:
-            return _table([])
-        starts, pending = chunk.grown()
+        starts = chunk.grown()[0]
         if level == ROUNDS:
             return _windows(number, chunk, starts, count)
-        x, y, many = _asked(chunk, pending)
+        chunk = chunk.narrowed(starts)
+        if chunk is None:
+            return _table([])
+        x, y, many = _asked(chunk.grown()[1])
         rows = [(number, None, STATE, chunk.packed())]
         for shard, own in _by_shard(_merged(x, y), count):
             rows.append((number, shard, ASKED, S.bundle(S.planes(x[own]), S.planes(y[own]), S.pack(many[own].astype(np.int8)))))
@@ -294,7 +298,8 @@ def _windows(number: int, chunk: Chunk, starts: np.ndarray, count: int) -> pa.Ta
     doc, pos = chunk.doc[which], (chunk.place[which] + starts - opens[which]).astype(np.int32)
     kept, covered = S._first_of(*names, doc, pos, across=True)
     kept = np.sort(kept)
-    rows = [(number, None, COVERED, S.pack(doc[covered], pos[covered]))] if len(covered) else []
+    # What is settled already goes along with the questions of some shard.
+    rows = [(number, number % count, COVERED, S.pack(doc[covered], pos[covered]))] if len(covered) else []
     for shard, own in _by_shard(names[0][kept], count):
         own = kept[own]
         rows.append((number, shard, ASKED, S.pack(names[0][own], names[1][own], doc[own], pos[own])))
@@ -302,13 +307,16 @@ def _windows(number: int, chunk: Chunk, starts: np.ndarray, count: int) -> pa.Ta
 
 
 def _verified(one: pa.Table) -> pa.Table:
-    """The windows of one shard -> of each chunk those that also start in an earlier document."""
-    chunks, parts = one.column("chunk").to_pylist(), [S.unpack(b, "u8", "u8", "i8", "i4") for b in one.column("blob").to_pylist()]
-    a, b, doc, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    _, covered = S._first_of(a, b, doc, pos, across=True)
-    covered = np.sort(covered)
-    cuts = np.searchsorted(covered, np.cumsum([0] + [len(p[0]) for p in parts]))
-    rows = [(chunk, None, COVERED, S.pack(doc[covered[i:j]], pos[covered[i:j]])) for chunk, i, j in zip(chunks, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if j > i]
+    """The windows of one shard -> of each chunk those that also start in an earlier document; what chunks have settled
+    passes through."""
+    asked = [(c, S.unpack(b, "u8", "u8", "i8", "i4")) for c, k, b in zip(*(one.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True) if k == ASKED]
+    rows = [(c, None, COVERED, b) for c, k, b in zip(*(one.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True) if k == COVERED]
+    if asked:
+        a, b, doc, pos = (np.concatenate([p[i] for _, p in asked]) for i in range(4))
+        _, covered = S._first_of(a, b, doc, pos, across=True)
+        covered = np.sort(covered)
+        cuts = np.searchsorted(covered, np.cumsum([0] + [len(p[0]) for _, p in asked]))
+        rows += [(c, None, COVERED, S.pack(doc[covered[i:j]], pos[covered[i:j]])) for (c, _), i, j in zip(asked, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if j > i]
     return _table(rows)
 
 
@@ -330,14 +338,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     for level in range(ROUNDS + 1):
         answers = rounds.where(F.col("kind") == ASKED).groupBy("shard").applyInArrow(_named(level, count), _ROWS)
         states = rounds.where(F.col("kind") == STATE).groupBy("chunk")
-        after = stored(states.cogroup(answers.groupBy("chunk")).applyInArrow(_advance(level, count), _ROWS), f"round-{level}")
+        after = states.cogroup(answers.groupBy("chunk")).applyInArrow(_advance(level, count), _ROWS)
+        if level == ROUNDS:
+            found = after.groupBy("shard").applyInArrow(_verified, _ROWS).groupBy("chunk").applyInArrow(_spans, S.MARK)
+            after = stored(found.select("g", "blob"), "covered")
+        else:
+            after = stored(after, f"round-{level}")
         dropped(rounds)
         rounds = after
-    verified = rounds.where(F.col("kind") == ASKED).groupBy("shard").applyInArrow(_verified, _ROWS)
-    found = verified.unionByName(rounds.where(F.col("kind") == COVERED)).groupBy("chunk").applyInArrow(_spans, S.MARK)
-    marks = stored(found.select("g", "blob"), "covered")
-    dropped(rounds)
-    return marks
+    return rounds
 
 
 def _flags(count: int, pos: np.ndarray, n: np.ndarray, reach: int) -> np.ndarray:

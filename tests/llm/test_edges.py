@@ -323,7 +323,7 @@ def test_recompression(spark, docs):
         answers = table.where("kind = 1").groupBy("shard").applyInArrow(op9_passages._named(level, count), op9_passages._ROWS)
         states = table.where("kind = 0").groupBy("chunk")
         table = op9_passages.stored(states.cogroup(answers.groupBy("chunk")).applyInArrow(op9_passages._advance(level, count), op9_passages._ROWS), "t")
-        if level == op9_passages.ROUNDS:
+        if level == op9_passages.ROUNDS:  # windows and what chunks settled alone
             break
         chunks = [op9_passages.Chunk.unpacked(bytes(r["blob"])) for r in table.where("kind = 0").collect()]
         assert len(chunks) > 1
