@@ -152,14 +152,41 @@ def scored(algorithm: str, a: Column, b: Column, cutoff: float = 0.0) -> Column:
     """The score; where it is below the cutoff, it may be given as 0 without being worked out."""
     if algorithm == "partial_ratio" and cutoff:
         return _vectorised(lambda x, y: partial(x, y, cutoff))(a, b)
+    if algorithm == "levenshtein" and cutoff:
+        longer = F.greatest(F.length(a), F.length(b))
+        # With a limit for each pair the JVM works out a band of the table only, and gives up (-1) beyond it.
+        distance = F.call_function("levenshtein", a, b, F.floor(longer * F.lit((100.0 - cutoff) / 100.0) + F.lit(1e-6)).cast("int"))
+        return F.when(longer == 0, F.lit(100.0)).when(distance < 0, F.lit(0.0)).otherwise(F.lit(100.0) * (longer - distance) / F.greatest(longer, F.lit(1)))
     return SCORERS[algorithm](a, b)
 
 
-def length_bound(algorithm: str, a: Column, b: Column, threshold: float) -> Column | None:
-    """A cheap condition that every pair at or above the threshold meets; only for scores that lengths bound."""
-    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    if algorithm == "ratio":
-        return F.lit(200.0) * shorter >= F.lit(float(threshold)) * (shorter + longer)
-    if algorithm == "levenshtein":
-        return F.lit(100.0) * shorter >= F.lit(float(threshold)) * longer
+#: Groups of characters in a signature: two bits each.
+GROUPS = 31
+
+
+def signature(key: Column) -> Column:
+    """62 bits about the characters of a key but its white space: of each group of code points whether one occurs, and
+    whether two do. An inserted or deleted character changes one bit at most, a replaced one two."""
+    groups = F.transform(F.filter(F.split(F.regexp_replace(key, r"[\s\x1c-\x1f\x85\p{Z}]+", ""), ""), lambda x: x != ""), lambda x: F.pmod(F.ascii(x), F.lit(GROUPS)))
+    ordered = F.array_sort(groups)
+    again = F.filter(ordered, lambda x, i: (i > 0) & (F.get(ordered, i - 1) == x))
+    bits = F.concat(F.array_distinct(ordered), F.transform(F.array_distinct(again), lambda x: x + F.lit(GROUPS)))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda mask, x: mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x)))
+
+
+def bound(algorithm: str, x: str, y: str, threshold: float) -> Column | None:
+    """A cheap condition that every pair at or above the threshold meets, on columns n (length of the key) and m (its
+    signature) of the frames x and y; None where neither bounds the score."""
+    if threshold <= 0:
+        return None
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    shorter, longer = F.least(a, b), F.greatest(a, b)
+    bits = F.bit_count(F.col(f"{x}.m").bitwiseXOR(F.col(f"{y}.m")))
+    away = F.lit(100.0 - threshold)
+    if algorithm == "levenshtein":  # distance * 100 <= away * longer
+        return (F.lit(100.0) * (longer - shorter) <= away * longer + F.lit(1e-6)) & (F.lit(50.0) * bits <= away * longer + F.lit(1e-6))
+    if algorithm == "ratio":  # insertions and deletions * 100 <= away * (a + b)
+        return (F.lit(100.0) * (longer - shorter) <= away * (a + b) + F.lit(1e-6)) & (F.lit(100.0) * bits <= away * (a + b) + F.lit(1e-6))
+    if algorithm == "token_sort_ratio":  # the sorted tokens have the key's characters, but for white space
+        return F.lit(100.0) * bits <= away * (a + b) + F.lit(1e-6)
     return None

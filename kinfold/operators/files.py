@@ -1,7 +1,7 @@
 """Duplicate files: by size, then by SHA-256 of the content.
 
-Contents are read only for sizes that occur more than once: a first scan sees metadata alone, a second one loads the
-files that are left by their paths.
+Contents are read only for sizes that occur more than once: a first scan sees metadata alone, and the files that are left
+are then hashed in tasks, block by block.
 """
 
 from __future__ import annotations
@@ -10,14 +10,15 @@ import datetime
 import os
 import shutil
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.errors import ConfigurationError
 
-#: Paths of one load; more are loaded in turns.
-PATHS = 10_000
+#: Bytes of a file that are read at once.
+BLOCK = 1 << 20
 
 
 def scan(spark: SparkSession, folder: str, suffixes: Sequence[str] | None = None) -> DataFrame:
@@ -41,16 +42,30 @@ def same_size(files: DataFrame) -> DataFrame:
 
 
 def with_hash(files: DataFrame) -> DataFrame:
-    """files(path, ...) with the SHA-256 of their contents."""
-    spark = files.sparkSession
-    paths = [r["path"] for r in files.select("path").toLocalIterator()]
-    out = None
-    for i in range(0, len(paths), PATHS):
-        part = spark.read.format("binaryFile").load(paths[i : i + PATHS]).select("path", F.sha2("content", 256).alias("hash"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return files.withColumn("hash", F.lit(None).cast("string")).limit(0)
-    return files.join(out, "path")
+    """files(path, ...) with the SHA-256 of their contents. The paths are dealt to tasks, which read the files in blocks
+    through Arrow's file systems: no path comes to the driver, and no content is held as a whole."""
+    spread = files.select("path").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    return files.join(spread.mapInArrow(_hashes, "path string, hash string"), "path")
+
+
+def _hashes(batches):
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for path in batch.column(0).to_pylist():
+            # Spark's paths are plain text, not escaped as URIs are.
+            scheme, _, rest = path.partition(":")
+            store, name = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+            digest = hashlib.sha256()
+            with store.open_input_stream(name, compression=None) as data:
+                while block := data.read(BLOCK):
+                    digest.update(block)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["path", "hash"])
 
 
 def duplicates(hashed: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Within a block all pairs are compared (that is the operator's meaning), so a large block is cut into cells: its records
 fall into k parts, and the pairs of parts i and j are one cell, dealt to a task of its own. Every pair meets in one
-cell only. Conditions on lengths that any pair at the threshold meets are tested before the score.
+cell only. Conditions on lengths and on the characters' signatures that any pair at the threshold meets are tested in the
+join, before the score; Levenshtein distances stop at the threshold.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kinfold.errors import ConfigurationError
 from kinfold.functions.normalize import normalizer
-from kinfold.functions.similarity import SCORERS, length_bound, scored
+from kinfold.functions.similarity import SCORERS, bound, scored, signature
 from kinfold.operators.components import components
 from kinfold.operators.exact import _checked
 from kinfold.operators.storage import stored
@@ -31,11 +32,16 @@ def keys(df: DataFrame, id_col: str, fields, kinds: Mapping[str, str] | None = N
     return df.select(F.col(f"`{id_col}`").alias("record_id"), F.trim(F.concat_ws(" ", *parts)).alias("key"))
 
 
-def blocked(keyed: DataFrame, max_comparisons: int = 100_000) -> DataFrame:
-    """record_id, key, block. All pairs if they are few enough; else blocks of equal first two characters and tens of
-    length. Empty keys are dropped."""
-    n = keyed.count()
-    block = F.lit("all") if n * (n - 1) // 2 <= max_comparisons else F.concat_ws("_", F.lower(F.substring("key", 1, 2)), F.floor(F.length("key") / 10).cast("string"))
+def blocked(keyed: DataFrame, max_comparisons: int = 100_000, blocking: str = "auto") -> DataFrame:
+    """record_id, key, block; empty keys are dropped. blocking: `all` makes one block, so that all pairs are compared;
+    `prefix` makes blocks of equal first two characters and tens of length, so that pairs across blocks are never seen,
+    however alike; `auto` is `all` if there are max_comparisons pairs at most, else `prefix`."""
+    if blocking not in ("auto", "all", "prefix"):
+        raise ConfigurationError(f"unknown blocking: {blocking!r}")
+    if blocking == "auto":
+        n = keyed.count()
+        blocking = "all" if n * (n - 1) // 2 <= max_comparisons else "prefix"
+    block = F.lit("all") if blocking == "all" else F.concat_ws("_", F.lower(F.substring("key", 1, 2)), F.floor(F.length("key") / 10).cast("string"))
     return keyed.where("key != ''").withColumn("block", block)
 
 
@@ -58,15 +64,18 @@ def pairs(blocks: DataFrame, algorithm: str = "WRatio", threshold: float = 80.0,
     if not 0 <= threshold <= 100:
         raise ConfigurationError("the threshold must be from 0 to 100")
     sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("k"))
-    own = blocks.join(sizes, "block").withColumn("r", F.pmod(F.xxhash64("record_id"), F.col("k")).cast("int"))
+    own = blocks.withColumn("m", signature(F.col("key"))).join(sizes, "block").withColumn("r", F.pmod(F.xxhash64("record_id"), F.col("k")).cast("int"))
     cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select("block", F.least("r", "other").alias("i"), F.greatest("r", "other").alias("j"), "r", "record_id", "key")
+    cells = cells.select("block", F.least("r", "other").alias("i"), F.greatest("r", "other").alias("j"), "r", "record_id", "key", F.length("key").alias("n"), "m")
+    # Small in bytes, large in work: adaptive execution must not put the cells together.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(tasks, "block", "i", "j")
     x, y = cells.alias("x"), cells.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("block", "i", "j")]
     once = (F.col("x.r") != F.col("y.r")) | (F.col("x.i") == F.col("x.j"))
     on = same[0] & same[1] & same[2] & once & (F.col("x.record_id") < F.col("y.record_id"))
-    bound = length_bound(algorithm, F.col("x.key"), F.col("y.key"), threshold)
-    met = x.join(y, on & bound if bound is not None else on)
+    cheap = bound(algorithm, "x", "y", threshold)
+    met = x.join(y, on & cheap if cheap is not None else on)
     links = met.select(F.col("x.record_id").alias("a"), F.col("y.record_id").alias("b"), scored(algorithm, F.col("x.key"), F.col("y.key"), threshold).alias("score"))
     return links.where(F.col("score") >= threshold)
 
@@ -89,9 +98,9 @@ def grouped(blocks: DataFrame, algorithm: str = "WRatio", threshold: float = 80.
     return found, members
 
 
-def find(df: DataFrame, id_col: str, fields, threshold: float = 80.0, algorithm: str = "WRatio", kinds: Mapping[str, str] | None = None, use_normalized: bool = True, max_comparisons: int = 100_000, unicode: bool = True) -> tuple[DataFrame, DataFrame]:
+def find(df: DataFrame, id_col: str, fields, threshold: float = 80.0, algorithm: str = "WRatio", kinds: Mapping[str, str] | None = None, use_normalized: bool = True, max_comparisons: int = 100_000, unicode: bool = True, blocking: str = "auto") -> tuple[DataFrame, DataFrame]:
     """(groups, members) of fuzzy duplicates."""
-    return grouped(blocked(keys(df, id_col, fields, kinds, use_normalized, unicode), max_comparisons), algorithm, threshold)
+    return grouped(blocked(keys(df, id_col, fields, kinds, use_normalized, unicode), max_comparisons, blocking), algorithm, threshold)
 
 
 def statistics(found: DataFrame) -> DataFrame:

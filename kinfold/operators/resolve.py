@@ -42,20 +42,24 @@ def check(decisions: DataFrame, members: DataFrame, require_confirmation: bool =
 
 
 def statuses(members: DataFrame, valid: DataFrame) -> DataFrame:
-    """record_id, group_id, seq, status, action, merged_from of every record that a decision touches."""
-    met = members.join(valid, "group_id")
-    chosen = F.array_contains("selected", F.col("record_id"))
+    """record_id, group_id, seq, status, action, merged_from of every record that a decision touches. Members meet the
+    selected records by a join, not by searching each decision's list; only merged_from, which the records of a merge
+    carry as text, is as long as the selection."""
+    chosen = valid.select("seq", "group_id", F.posexplode("selected").alias("pos", "record_id")).groupBy("seq", "group_id", "record_id").agg(F.min("pos").alias("pos"))
+    met = members.join(valid.select("seq", "group_id", "action"), "group_id").join(chosen, ["seq", "group_id", "record_id"], "left")
+    selected = F.col("pos").isNotNull()
     status = (
-        F.when(F.col("action") == "KEEP", F.when(chosen, "kept").otherwise("soft_deleted"))
+        F.when(F.col("action") == "KEEP", F.when(selected, "kept").otherwise("soft_deleted"))
         .when(F.col("action") == "FLAG", "flagged")
-        .when((F.col("action") == "DELETE") & chosen, "hard_deleted")
-        .when((F.col("action") == "MERGE") & chosen, F.when(F.col("record_id") == F.col("selected")[0], "merged_primary").otherwise("merged_secondary"))
+        .when((F.col("action") == "DELETE") & selected, "hard_deleted")
+        .when((F.col("action") == "MERGE") & selected, F.when(F.col("pos") == 0, "merged_primary").otherwise("merged_secondary"))
     )
     touched = met.withColumn("status", status).where("status is not null")
     action = F.when(F.col("status") == "soft_deleted", "SOFT_DELETE").otherwise(F.col("action"))
-    sources = F.when(F.col("action") == "MERGE", F.array_join(F.transform("selected", lambda x: x.cast("string")), ","))
-    last = touched.withColumn("x", F.struct("group_id", "seq", "status", action.alias("action"), sources.alias("merged_from")))
-    return last.groupBy("record_id").agg(F.max_by("x", "seq").alias("x")).select("record_id", "x.*")
+    last = touched.withColumn("x", F.struct("group_id", "seq", "status", action.alias("action")))
+    last = last.groupBy("record_id").agg(F.max_by("x", "seq").alias("x")).select("record_id", "x.*")
+    sources = valid.where("action = 'MERGE'").select("seq", "group_id", F.array_join(F.transform("selected", lambda x: x.cast("string")), ",").alias("merged_from"))
+    return last.join(sources, ["seq", "group_id"], "left").select("record_id", "group_id", "seq", "status", "action", "merged_from")
 
 
 def _time(columns: list[str]) -> Column:

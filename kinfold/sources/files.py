@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,8 @@ NA_TEXTS = (
     "", "NULL", "null", "None", "N/A", "n/a", "NA", "NaN", "nan", "-NaN", "-nan",
     "#N/A", "#N/A N/A", "#NA", "<NA>", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN",
 )
-#: Encodings that are tried in turn when the bytes are not valid UTF-8.
+#: Encodings in the order in which they are tried; UTF-16 needs its mark, and Latin-1 decodes any byte.
 ENCODINGS = ("utf-8", "utf-16", "iso-8859-1", "cp1252")
-SNIFFED = 10_240
 
 
 def load_file(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -39,17 +39,28 @@ def _checked(read, path: str) -> DataFrame:
         raise
 
 
-def load_csv(spark: SparkSession, path: str, encoding: str | None = "utf-8", separator: str = ",", quote: str = '"') -> DataFrame:
-    """Header row, all columns as strings, NA_TEXTS as null. encoding None: found by detect_encoding()."""
-    encoding = encoding or detect_encoding(spark, path)
-    options = {"header": True, "inferSchema": False, "encoding": encoding, "sep": separator, "quote": quote, "escape": quote, "multiLine": True, "nullValue": None}
-    df = _checked(lambda: spark.read.options(**{k: v for k, v in options.items() if v is not None}).csv(path), path)
+def load_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str = ",", quote: str = '"') -> DataFrame:
+    """Header row, all columns as strings, NA_TEXTS as null. Without an encoding, the first of ENCODINGS that decodes the
+    whole file is taken, so no byte is replaced without a word; text that was read wrongly under a given encoding shows
+    as U+FFFD, which replaced() counts."""
+    options = {"header": True, "inferSchema": False, "encoding": encoding or detect_encoding(spark, path), "sep": separator, "quote": quote, "escape": quote, "multiLine": True}
+    df = _checked(lambda: spark.read.options(**options).csv(path), path)
     return df.select(*[F.when(F.col(f"`{c}`").isin(*NA_TEXTS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def replaced(df: DataFrame) -> int:
+    """Fields in which a byte could not be decoded (U+FFFD)."""
+    marks = [F.count_if(F.col(f"`{c}`").contains("\ufffd")) for c in df.columns]
+    return sum(df.agg(*marks).first()) if marks else 0
+
+
 def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, lines of objects, or one object of arrays; all columns as strings, nulls stay null."""
-    df = _checked(lambda: spark.read.option("multiLine", True).json(path), path)
+    """An array of objects, lines of objects, or one object of arrays; all columns as strings, nulls stay null. A text
+    is taken as lines if its first line is an object as a whole."""
+    lines = _checked(lambda: spark.read.text(path), path)
+    first = lines.where(F.trim("value") != "").select(F.trim("value").alias("v")).head(1)
+    whole = bool(first) and first[0]["v"].startswith("{") and _is_object(first[0]["v"])
+    df = spark.read.option("multiLine", not whole).json(path)
     if df.columns and all(isinstance(f.dataType, T.ArrayType) for f in df.schema):
         df = df.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in df.columns])))
     if not df.columns or df.isEmpty():
@@ -57,22 +68,23 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def _is_object(line: str) -> bool:
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """By the first bytes: a byte order mark, else the first encoding that decodes them."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFFED).alias("head")).take(1)
-    head = bytes(rows[0]["head"]) if rows else b""
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+    """By a byte order mark, else the first of ENCODINGS that decodes every line of the files. Bytes are read as lines in
+    Latin-1, which keeps them as they are, so a large file is tested by many tasks."""
+    lines = _checked(lambda: spark.read.option("encoding", "iso-8859-1").option("header", False).option("sep", "\x00").option("quote", "").csv(path, schema="value string"), path)
+    first = lines.head(1)
+    head = (first[0]["value"] or "") if first else ""
+    if head[:2] in ("\xff\xfe", "\xfe\xff"):
         return "utf-16"
-    for encoding in ENCODINGS:
-        if encoding == "utf-16":
-            continue  # without a mark nearly anything would decode
-        try:
-            head[: len(head) - len(head) % 2 or None].decode(encoding) if len(head) < SNIFFED else head.decode(encoding)
-            return encoding
-        except UnicodeDecodeError as error:
-            if error.start >= len(head) - 3 and encoding == "utf-8" and len(head) == SNIFFED:
-                return encoding  # only the last code point is cut
-    return "utf-8"
+    data = F.encode("value", "iso-8859-1")
+    return "utf-8" if lines.where(~F.is_valid_utf8(data.cast("string"))).isEmpty() else next(e for e in ENCODINGS if not e.startswith("utf"))
 
 
 def preview(df: DataFrame, rows: int = 10, order: list | None = None) -> DataFrame:

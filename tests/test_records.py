@@ -1,5 +1,6 @@
 """Record operators on the fixtures and edge cases."""
 
+import hashlib
 import itertools
 import random
 
@@ -227,7 +228,29 @@ def test_files(spark, tmp_path):
     files.cleanup(plan, dry_run=False, root=str(tmp_path))
     assert files.find(spark, str(tmp_path)).count() == 0  # what is recycled is hidden from scans
     assert len(list((tmp_path / ".recycle").rglob("*.*"))) == 4
-    assert files.scan(spark, str(tmp_path), [".CSV"]).count() == 2
+    assert files.scan(spark, str(tmp_path), [".CSV"]).count() == 1  # the other one was recycled
+    odd = tmp_path / "more" / "a b%20c é.txt"
+    odd.parent.mkdir()
+    odd.write_bytes(b"x" * 5_000_000)
+    (tmp_path / "more" / "copy.txt").write_bytes(b"x" * 5_000_000)
+    assert {r["hash"] for r in files.find(spark, str(tmp_path / "more")).collect()} == {hashlib.sha256(b"x" * 5_000_000).hexdigest()}
+    assert files.find(spark, str(tmp_path / "more")).count() == 2
+
+
+def test_encodings_and_lines(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes("id,name\n1,José\n2,Zoë\n".encode("iso-8859-1"))
+    (tmp_path / "utf.csv").write_text("id,name\n1,José\n2,\"a\nb\"\n", encoding="utf-8")
+    (tmp_path / "wide.csv").write_text("id,name\n1,José\n", encoding="utf-16")
+    assert [r["name"] for r in sources.load_csv(spark, str(tmp_path / "latin.csv")).collect()] == ["José", "Zoë"]
+    assert [r["name"] for r in sources.load_csv(spark, str(tmp_path / "utf.csv")).collect()] == ["José", "a\nb"]
+    assert [r["name"] for r in sources.load_csv(spark, str(tmp_path / "wide.csv")).collect()] == ["José"]
+    assert sources.replaced(sources.load_csv(spark, str(tmp_path / "latin.csv"), encoding="utf-8")) == 2
+    (tmp_path / "lines.json").write_text('{"a": 1, "b": "x"}\n\n{"a": 2}\n{"b": "y"}\n')
+    assert [(r["a"], r["b"]) for r in sources.load_json(spark, str(tmp_path / "lines.json")).collect()] == [("1", "x"), ("2", None), (None, "y")]
+    (tmp_path / "array.json").write_text('[\n {"a": 1},\n {"a": 2}\n]\n')
+    assert [r["a"] for r in sources.load_json(spark, str(tmp_path / "array.json")).collect()] == ["1", "2"]
+    (tmp_path / "one.json").write_text('{\n "a": [1, 2, 3],\n "b": ["x", null, "z"]\n}\n')
+    assert [(r["a"], r["b"]) for r in sources.load_json(spark, str(tmp_path / "one.json")).collect()] == [("1", "x"), ("2", None), ("3", "z")]
 
 
 def test_outputs(spark, customers, tmp_path):
