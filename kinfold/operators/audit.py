@@ -126,10 +126,11 @@ def duplicate_rate(events: DataFrame) -> DataFrame:
 
 
 def content_hash(df: DataFrame) -> str:
-    """Of the rows in any order; the same in every run. Sums of row hashes, so repeated rows count."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    a, b = df.agg(F.coalesce(F.sum(F.pmod(row, F.lit(1 << 31))), F.lit(0)), F.count(F.lit(1))).first()
-    return f"{a:x}-{b:x}"
+    """Of the rows in any order; the same in every run. Sums of row hashes of 64 bits, kept whole as decimals, so repeated
+    rows count."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.lit(0)
+    a, b = df.agg(F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0)), F.count(F.lit(1))).first()
+    return f"{int(a) % (1 << 64):016x}-{b:x}"
 
 
 class ActivityLog:
@@ -143,9 +144,38 @@ class ActivityLog:
         self.logger.info(json.dumps({"operation": self.number, "kind": kind, **data}, default=str))
         return self.number
 
+    def file(self, path: str, operation: str, size: int | None = None, succeeded: bool = True) -> int:
+        return self.event("file", path=path, what=operation, size=size, succeeded=succeeded)
+
     def data(self, what: str, records: int, seconds: float) -> int:
         return self.event("data", what=what, records=records, seconds=seconds, records_per_second=records / seconds if seconds else None)
 
+    def user(self, what: str, **details) -> int:
+        return self.event("user", what=what, details=details)
+
+    def system(self, what: str, **details) -> int:
+        return self.event("system", what=what, details=details)
+
+    def performance(self, what: str, value: float, unit: str) -> int:
+        return self.event("performance", what=what, value=value, unit=unit)
+
+
+class ProcessingLog:
+    """Decisions about records and the start and end of a run, as objects in Python's logging, which
+    output.entries_from_log() reads again."""
+
+    def __init__(self, name: str = "kinfold.audit"):
+        self.logger = logging.getLogger(name)
+
+    def action(self, record_id, action: str, reason: str = "", score: float | None = None) -> None:
+        self.logger.info(json.dumps({"record_id": str(record_id), "action": action, "reason": reason, "similarity_score": score, "user_decision": False}))
+
+    def started(self, source: str, records: int, **settings) -> None:
+        self.logger.info(json.dumps({"event": "processing_start", "source": source, "records": records, "settings": settings}, default=str))
+
+    def ended(self, source: str, groups: int, seconds: float, succeeded: bool = True) -> None:
+        self.logger.info(json.dumps({"event": "processing_end", "source": source, "groups": groups, "seconds": seconds, "succeeded": succeeded}))
+
 
 def setup_logging(folder: str, level: int = logging.INFO) -> logging.Logger:
     """Console, a rotating file (10 MB, five old ones) and a file of errors."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinfold.plans import detection, preparation, reporting, survivorship
+from kinfold.plans import detection, preparation, reporting, services, survivorship
 
-MODULES = (preparation, detection, survivorship, reporting)
+MODULES = (preparation, detection, survivorship, reporting, services)
 
 
 def queries() -> dict:

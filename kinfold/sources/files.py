@@ -90,3 +90,7 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 def preview(df: DataFrame, rows: int = 10, order: list | None = None) -> DataFrame:
     """The first rows in a stated order (all columns by default), 1000 at most."""
     return df.orderBy(*(order or df.columns)).limit(max(0, min(rows, 1000)))
+
+
+#: Loaders under the names of their formats.
+load_csv_file, load_json_file = load_csv, load_json
