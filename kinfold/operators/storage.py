@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.errors import ConfigurationError
 
-
 #: Folder of stored tables below the shared one.
 PREFIX = "kinfold"
+#: Whether Spark deletes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @functools.lru_cache(maxsize=8)
@@ -35,19 +36,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written and read again. The shuffle files of the write go when it has ended: nothing reads them after that."""
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing will read again (their frames come from stored() as they are), and lets Spark
-    clean up after the jobs that read them."""
+    """Deletes stored tables that nothing will read again (their frames come from stored() as they are)."""
     for df in tables:
         spark = df.sparkSession
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for folder in folders:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if f"/{PREFIX}/" in folder:
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        spark._jvm.System.gc()  # shuffle files go with the plans that wrote them
