@@ -45,11 +45,11 @@ def numbered(docs: DataFrame, name: str = "row", key: str = "doc_id", payload: t
     if again.isEmpty():
         return docs.withColumn(name, F.col(key).cast("long")), True
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload]
-    marks = [F.xxhash64(F.lit(i), *parts).alias(f"_mark{i}") for i in (0, 1)]
-    own = docs.select(F.col(key).alias("_id"), *marks).distinct().orderBy(F.col("_id").asc_nulls_last(), "_mark0", "_mark1")
-    own = stored(own.withColumn("_number", F.monotonically_increasing_id()), "numbers")
-    on = F.col(key).eqNullSafe(F.col("_id")) & (marks[0] == F.col("_mark0")) & (marks[1] == F.col("_mark1"))
-    return docs.join(own, on).select(*docs.columns, F.col("_number").alias(name)), False
+    marks = [F.xxhash64(F.lit(i), *parts).alias(f"kinfold_mark{i}") for i in (0, 1)]
+    own = docs.select(F.col(key).alias("kinfold_id"), *marks).distinct().orderBy(F.col("kinfold_id").asc_nulls_last(), "kinfold_mark0", "kinfold_mark1")
+    own = stored(own.withColumn("kinfold_number", F.monotonically_increasing_id()), "numbers")
+    on = F.col(key).eqNullSafe(F.col("kinfold_id")) & (marks[0] == F.col("kinfold_mark0")) & (marks[1] == F.col("kinfold_mark1"))
+    return docs.join(own, on).select(*docs.columns, F.col("kinfold_number").alias(name)), False
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -10,9 +10,9 @@ A symbol is interior to a window if the words that decide its place and content
 each level those of the symbol at either side. This reach is counted exactly. Equal windows have equal interior
 symbols, so a window that another document shares has no dead one. Each round drops the windows that hold a dead interior
 symbol, and the words that no window is left of; after the rounds nearly all windows that are left are shared ones. They
-are verified by their symbols of level 0, the global numbers of their WINDOW words, in a last exchange by 128 bits of them.
+are verified by their symbols of level 0, the global numbers of their WINDOW words, in a last exchange by 96 bits of them.
 
-In no exchange does a key gather rows: what is common is sent once a chunk. A round's tables go when the next is written.
+In no exchange does a key gather rows: what is common is sent once a chunk. A round's table goes when the next is written.
 
 Defined cases: null, empty and shorter texts have no window and lose nothing; very long texts are a chunk of their own;
 repeats within one document stay; rows that share a doc_id are documents of their own in the order of digests of their
@@ -82,14 +82,14 @@ class Chunk:
 
     def packed(self) -> bytes:
         words = [S.pack(self.doc, self.place, self.size), S.planes(self.stream), S.planes(self.ids)]
-        return S.bundle(*words, *[S.planes(v) for level in self.levels for v in level])
+        return S.bundle(*words, *[S.planes(v) for x, y, number in self.levels for v in (np.diff(x, prepend=0), y, number)])
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Chunk:
         parts = S.unbundle(blob)
         doc, place, size = S.unpack(parts[0], "i8", "i4", "i4")
         rest = [S.from_planes(p) for p in parts[1:]]
-        return cls(doc, place, size, rest[0], rest[1], [tuple(rest[i : i + 3]) for i in range(2, len(rest), 3)])
+        return cls(doc, place, size, rest[0], rest[1], [(np.cumsum(rest[i]), rest[i + 1], rest[i + 2]) for i in range(2, len(rest), 3)])
 
     def grown(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(words that open a window still in question, (x, y, text) of the runs and pairs of the level that has no
@@ -234,7 +234,7 @@ def _named(level: int, count: int):
         for blob in one.column("blob").to_pylist():
             own = S.unbundle(blob)
             if level:
-                parts.append((S.from_planes(own[0]), S.from_planes(own[1]), S.unpack(own[2], "i1")[0]))
+                parts.append((np.cumsum(S.from_planes(own[0])), S.from_planes(own[1]), S.unpack(own[2], "i1")[0]))
             else:
                 size, many = S.unpack(own[0], "i4", "i1")
                 buf = np.frombuffer(pa.decompress(own[1], decompressed_size=int.from_bytes(own[2], "little"), codec="zstd", asbytes=True), np.uint8)
@@ -284,7 +284,7 @@ def _advance(level: int, count: int):
         x, y, many = _asked(chunk.grown()[1])
         rows = [(number, None, STATE, chunk.packed())]
         for shard, own in _by_shard(_merged(x, y), count):
-            rows.append((number, shard, ASKED, S.bundle(S.planes(x[own]), S.planes(y[own]), S.pack(many[own].astype(np.int8)))))
+            rows.append((number, shard, ASKED, S.bundle(S.planes(np.diff(x[own], prepend=0)), S.planes(y[own]), S.pack(many[own].astype(np.int8)))))
         return _table(rows)
 
     return run
@@ -293,6 +293,7 @@ def _advance(level: int, count: int):
 def _windows(number: int, chunk: Chunk, starts: np.ndarray, count: int) -> pa.Table:
     words = chunk.ids[chunk.stream].astype(np.uint64)
     names = [K.runs_of(K.mix(words ^ K.U64(seed)), WINDOW)[starts] for seed in (1, 2)]
+    names[1] = (names[1] >> K.U64(32)).astype(np.uint32)
     opens = np.concatenate([[0], np.cumsum(chunk.size)[:-1]])
     which = np.searchsorted(opens, starts, "right") - 1
     doc, pos = chunk.doc[which], (chunk.place[which] + starts - opens[which]).astype(np.int32)
@@ -309,7 +310,7 @@ def _windows(number: int, chunk: Chunk, starts: np.ndarray, count: int) -> pa.Ta
 def _verified(one: pa.Table) -> pa.Table:
     """The windows of one shard -> of each chunk those that also start in an earlier document; what chunks have settled
     passes through."""
-    asked = [(c, S.unpack(b, "u8", "u8", "i8", "i4")) for c, k, b in zip(*(one.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True) if k == ASKED]
+    asked = [(c, S.unpack(b, "u8", "u4", "i8", "i4")) for c, k, b in zip(*(one.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True) if k == ASKED]
     rows = [(c, None, COVERED, b) for c, k, b in zip(*(one.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True) if k == COVERED]
     if asked:
         a, b, doc, pos = (np.concatenate([p[i] for _, p in asked]) for i in range(4))

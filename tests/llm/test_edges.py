@@ -255,6 +255,11 @@ def test_substrings(spark, docs):
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     digests = op8_substrings._applied(docs(rows), op8_substrings._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     assert {r[0]: tuple(r[1:]) for r in digests.collect()} == want
+    # Every key counts as common: all segments are cut further, and a line that many texts hold ends up in many groups.
+    line = text(40, 900)[:150]
+    rows += [(1000 + i, f"{text(12, 2000 + i)} {line} {text(12, 3000 + i)}") for i in range(60)]
+    cut = op8_substrings._applied(docs(rows), op8_substrings._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot=0)
+    assert {r[0]: tuple(r[1:]) for r in cut.collect()} == brute_substrings(rows)
     assert got[1] is None and got[2] == "" and got[7] == "" or len(rows[6][1].encode()) < 100
     assert op8_substrings.strip_substrings(docs(rows).limit(0)).count() == 0
     # Rows of one id and text are one document; of one id alone, documents of their own; those without an id come last.
@@ -339,7 +344,7 @@ def test_recompression(spark, docs):
                 words = tuple(w for s, n in runs for w in meaning[s] * n)
                 assert meaning.setdefault(number, words) == words
     assert len(set(meaning.values())) == len(meaning) and any(len(w) > 1 for w in meaning.values())
-    windows = [op9_passages.S.unpack(bytes(r["blob"]), "u8", "u8", "i8", "i4") for r in table.where("kind = 1").collect()]
+    windows = [op9_passages.S.unpack(bytes(r["blob"]), "u8", "u4", "i8", "i4") for r in table.where("kind = 1").collect()]
     assert windows and all(split[d][p : p + 13] in [o[i : i + 13] for e, o in split.items() if e != d for i in range(len(o) - 12)] for w in windows for d, p in list(zip(w[2].tolist(), w[3].tolist(), strict=True))[:3])
 
 
