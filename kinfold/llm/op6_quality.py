@@ -2,26 +2,27 @@
 
 Two generative models over hashed features (words, and byte n-grams, which see spelling, markup and case) are counted
 over all documents: the target model over those labelled good, the raw model over every document. A document's
-importance weight is the log ratio of its probability under the two; a sample without replacement in proportion to
-the weights takes the k greatest of weight + Gumbel noise (seeded by doc_id). k is the number of documents whose weight
-is above a cut: the one that leaves the fewest labelled documents on the wrong side, in the middle of the gap between
-the weights next to it. There a good document has the weight it would have without its own label, as the others have.
-
-Per-feature log ratios are averaged, not summed, and scaled to `scale` features, so that long documents are not told
-apart by their length alone. At this scale the noise is small against the weights, so the draw is in effect a threshold
-on the mean. The counts are vectors of fixed size, summed by blocks of buckets; the k-th greatest key
-is found by counting ever finer bins of the keys, so neither is any list sent to the driver nor anything sorted as a
-whole; ties at the cut go by doc_id.
-
-Defined cases: documents without text have no features: weight 0, and they are ranked like others; labels of null
-count as no label, one of a toxic document is not good whatever its quality, a document with several labels is good only if all are; without any good label, or any other,
-nothing is told apart and all are kept; repeated rows
-are rows of their own, and those without an id have no label; very long texts count whole; empty documents give an
-empty result; columns other than those named here are not read.
+importance weight is the log ratio of its probability under the two, the sum over its features; a sample without
+replacement in proportion to the weights takes the k greatest of weight + Gumbel noise (seeded by doc_id). k is the
+number of documents whose weight is above a cut: the one that leaves the fewest labelled documents on the wrong side, in
+the middle of the gap between the weights next to it. There a good document has the weight it would have without its own
+label, as the others have. With `length`, weights are those of a document of so many features of the same kind (the mean
+times `length`), so that long documents are not told apart by their length.
+
+The counts are vectors of fixed size, summed by blocks of buckets; the k-th greatest key is found by counting ever finer
+bins of the keys, so neither is any list sent to the driver nor anything sorted as a whole; ties at the cut go by doc_id.
+
+Defined cases: documents without text have no features: weight 0, and they are ranked like others; labels of null count
+as no label, one of a toxic document is not good whatever its quality, a document with several labels is good only if all
+are; without any good label, or any other, nothing is told apart and all are kept; repeated rows are rows of their own,
+and those without an id have no label; very long texts count whole; empty documents give an empty result; columns other
+than those named here are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,8 @@ BUCKETS = 1 << 16
 SLICE = 1 << 12
 GRAM = 3
 SEED = 0
-SCALE = 1000.0
+#: Features of weight with which the raw share of a bucket smooths the target's.
+PRIOR = 20.0
 #: Bins of weights between which the cut can be.
 BINS = 1 << 14
 
@@ -95,14 +97,11 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 def log_ratios(target: np.ndarray, raw: np.ndarray, size: np.ndarray | float, total: np.ndarray | float, width: int) -> np.ndarray:
     """Log of target over raw probability of buckets of one half, given their counts, those of the half and its width."""
-    # The raw share of a bucket, as so many features, smooths the target's.
-    prior = 20.0
     share = (raw + 1) / (total + width)
-    # A feature counts for less if it was seen a few times only.
-    return np.clip((np.log((target + prior * share) / (size + prior)) - np.log(share)) * (raw / (raw + 5.0)), -6.0, 6.0)
+    return np.log((target + PRIOR * share) / (size + PRIOR)) - np.log(share)
 
 
-def _weigh(counts: np.ndarray, buckets: int, scale: float):
+def _weigh(counts: np.ndarray, buckets: int, length: float | None):
     half = buckets // 2
     sizes = counts.reshape(2, 2, half).sum(2)  # (target, raw) of words and of n-grams
     ratios = np.concatenate([log_ratios(*counts[:, i * half : (i + 1) * half], *sizes[:, i], half) if sizes[:, i].all() else np.zeros(half) for i in (0, 1)])
@@ -114,8 +113,8 @@ def _weigh(counts: np.ndarray, buckets: int, scale: float):
             for at, buf, offsets in K.blocks(batch.column(1)):
                 bucket, doc = features(buf, offsets, buckets)
                 n = len(offsets) - 1
-                count = np.maximum(np.bincount(doc, minlength=n), 1)
-                weight = np.bincount(doc, ratios[bucket], n) / count
+                scale = length / np.maximum(np.bincount(doc, minlength=n), 1) if length else 1.0
+                weight = np.bincount(doc, ratios[bucket], n)
                 # Good documents without their own features in the target.
                 mine = good[at + doc]
                 kinds, times = np.unique(doc[mine] * buckets + bucket[mine], return_counts=True)
@@ -123,7 +122,7 @@ def _weigh(counts: np.ndarray, buckets: int, scale: float):
                 side = b // half
                 own = np.bincount(2 * d + side, times, 2 * n)
                 left = sizes[0, side] - own[2 * d + side]
-                alone = np.bincount(d, times * log_ratios(counts[0, b] - times, counts[1, b], left, sizes[1, side], half), n) / count
+                alone = np.bincount(d, times * log_ratios(counts[0, b] - times, counts[1, b], left, sizes[1, side], half), n)
                 fair = np.where(good[at : at + n], alone, weight)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(scale * weight), labels.slice(at, n), pa.array(scale * fair), row.slice(at, n)], ["doc_id", "log_weight", "good", "fair", "row"])
 
@@ -137,7 +136,9 @@ def best_cut(weighed: DataFrame, bins: int = BINS) -> float | None:
     low, high = labelled.agg(F.min("fair"), F.max("fair")).first()
     if low is None:
         return None
-    spot = F.least(F.floor((F.col("fair") - F.lit(low)) / F.lit(max((high - low) / bins, 1e-9))), F.lit(bins - 1))
+    # Weights of long documents are large; bins of their inverse hyperbolic sine are fine near 0, whatever the longest.
+    low, high = math.asinh(low), math.asinh(high)
+    spot = F.least(F.greatest(F.floor((F.asinh("fair") - F.lit(low)) / F.lit(max((high - low) / bins, 1e-9))), F.lit(0)), F.lit(bins - 1))
     rows = sorted(labelled.groupBy(spot.alias("bin")).agg(F.count_if("good"), F.count_if(~F.col("good")), F.min("fair"), F.max("fair")).collect())
     good, bad = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     if not good.sum() or not bad.sum():
@@ -177,7 +178,7 @@ def kth_greatest(keys: DataFrame, k: int, column: str, bins: int = 4096) -> tupl
             return value, left - sum(v > value for v in values)
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, scale: float = SCALE, row: str | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, length: float | None = None, row: str | None = None) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality[, toxic]) -> doc_id, log_weight, gumbel, kept; a row per document.
     row: a column of docs with whole numbers that the result keeps, as `row`."""
     good = F.col("quality") == 1
@@ -188,7 +189,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int
     # Small tables of labels go to every task; larger ones meet the documents in a shuffle.
     joined = docs.join(broadcast_if_small(marks, 1_000_000), "doc_id", "left")
     counts = bucket_counts(joined, buckets)
-    weights = joined.select("doc_id", "text", "good", "row").mapInArrow(_weigh(counts, buckets, scale), "doc_id long, log_weight double, good boolean, fair double, row long")
+    weights = joined.select("doc_id", "text", "good", "row").mapInArrow(_weigh(counts, buckets, length), "doc_id long, log_weight double, good boolean, fair double, row long")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = weights.withColumn("gumbel", -F.log(-F.log(uniform))).withColumn("key", F.col("log_weight") + F.col("gumbel"))
     keyed = stored(keyed, "keys")
