@@ -8,7 +8,8 @@ equal key, so all questions are answered key by key:
 1. `cut` (map): segments of whole texts. Equal segments of one chunk are settled at once: only the first of them can
    be a first occurrence, so one record a chunk and content is sent, whatever the number of copies.
 2. `settle` (by key): contents met again are settled in the same way. Keys with one content end here; where a key
-   has several contents, the first segment of each asks for its text.
+   has several contents, the first segment of each asks for its text. Segments of a key with more than HOT contents (a
+   line that many texts hold, each in a context of its own) are cut further, by bytes beside the anchor.
 3. `fetch` (by document): the asked texts.
 4. `compare` (by key): the operator's own method finds the windows that these contents share.
 5. `apply` (by document): covered parts go.
@@ -154,7 +155,9 @@ def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
 #: Records of a segment: name of the anchor, name of the content, document, first window, windows.
 SEGMENT = ("u8", "u8", "i8", "i4", "i4")
 COVERED = ("i8", "i4", "i4")
-ASKED = ("i8", "u8", "i4", "i4")
+ASKED = ("i8", "u8", "i1", "i4", "i4")
+#: Contents of one key from which on its segments are cut further.
+HOT = 4096
 
 
 def _cut(cutter: Callable, shards: int, across: bool):
@@ -193,7 +196,7 @@ def _cut(cutter: Callable, shards: int, across: bool):
     return run
 
 
-def _settle(across: bool):
+def _settle(across: bool, hot: int):
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         rows = []
@@ -221,8 +224,8 @@ def _settle(across: bool):
                 at = kept[order]
                 sizes = np.diff(np.append(starts, len(at)))
                 ahead = content[at[starts]] != content[at[starts + sizes - 1]]
-                asked = at[np.repeat(ahead, sizes)]
-                rows += _rows(2, doc[asked], [key[asked], pos[asked], n[asked]])
+                asked, many = at[np.repeat(ahead, sizes)], np.repeat(sizes > hot, sizes)[np.repeat(ahead, sizes)]
+                rows += _rows(2, doc[asked], [key[asked], many.astype(np.int8), pos[asked], n[asked]])
         return pa.Table.from_batches([_batch(rows, "g kind blob")])
 
     return run
@@ -273,22 +276,37 @@ def with_marks(docs: DataFrame, marks: DataFrame, handle: Callable, kinds: tuple
     return both.mapInArrow(_per_document(handle, kinds), schema)
 
 
-def covered_windows(docs: DataFrame, cutter: Callable, reader: Callable, comparer: Callable, across: bool) -> DataFrame:
+def covered_windows(docs: DataFrame, cutter: Callable, reader: Callable, splitter: Callable, comparer: Callable, across: bool, hot: int = HOT) -> DataFrame:
     """Packed marks (g, blob of COVERED) of all windows of docs(row, text) that repeat an earlier one.
 
     cutter(bytes, offsets): arrays (key, content, document, first window, windows) of the segments.
     reader(text bytes, pos, n): for each asked segment, its bytes for the comparer.
+    splitter(text bytes, key, pos, n): (key, pos, n, bytes) of the parts of a segment of a common key; equal windows are
+    in parts of equal keys.
     comparer(key, doc, pos, n, payloads): (doc, pos, n) of the runs of covered windows."""
     count = shards(docs)
     sent = docs.select("row", "text").mapInArrow(_cut(cutter, count, across), "shard int, kind int, blob binary")
-    settled = stored(sent.groupBy("shard").applyInArrow(_settle(across), MARK), "settled")
+    settled = stored(sent.groupBy("shard").applyInArrow(_settle(across, hot), MARK), "settled")
+
+    def shard(key: np.uint64) -> int:
+        return int(key >> np.uint64(33)) % count
 
     def fetch(batch, found):
         texts, rows = batch.column("text"), []
-        for i, (doc, key, pos, n) in enumerate(found):
+        cut = []
+        for i, (doc, key, many, pos, n) in enumerate(found):
             if len(key):
-                for j, payload in enumerate(reader((texts[i].as_py() or "").encode(), pos, n)):
-                    rows.append((int(key[j] >> np.uint64(33)) % count, key[j : j + 1].tobytes(), int(doc[j]), int(pos[j]), int(n[j]), payload))
+                data, many = (texts[i].as_py() or "").encode(), many.astype(bool)
+                plain = zip(np.flatnonzero(~many).tolist(), reader(data, pos[~many], n[~many]), strict=True)
+                rows += [(shard(key[j]), key[j : j + 1].tobytes(), int(doc[j]), int(pos[j]), int(n[j]), payload) for j, payload in plain]
+                for j in np.flatnonzero(many).tolist():
+                    cut += [(k, int(doc[j]), p, m, payload) for k, p, m, payload in splitter(data, key[j], int(pos[j]), int(n[j]))]
+        if cut:  # equal parts are settled here; one that repeats another goes on without its bytes, by any shard
+            buf, end = np.frombuffer(b"".join(c[4] for c in cut), np.uint8), np.cumsum([len(c[4]) for c in cut])
+            content = K.name(buf, np.concatenate([[0], end[:-1]]), end)
+            docs, places = (np.array([c[i] for c in cut], np.int64) for i in (1, 2))
+            again = set(_first_of(np.array([c[0] for c in cut], np.uint64), content, docs, places, across)[1].tolist())
+            rows += [(d % count, k.tobytes(), d, p, m, b"") if i in again else (shard(k), k.tobytes(), d, p, m, payload) for i, (k, d, p, m, payload) in enumerate(cut)]
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
@@ -298,7 +316,10 @@ def covered_windows(docs: DataFrame, cutter: Callable, reader: Callable, compare
     def compare(table: pa.Table) -> pa.Table:
         key = np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint64)
         doc, pos, n = (table.column(c).to_numpy() for c in ("doc", "pos", "n"))
-        got = comparer(key, doc, pos, n, table.column("payload").to_pylist())
+        payloads = table.column("payload").to_pylist()
+        open_ = np.array([bool(p) for p in payloads], bool)
+        found = comparer(key[open_], doc[open_], pos[open_], n[open_], [p for p in payloads if p])
+        got = [np.concatenate([x[~open_], y]) for x, y in zip((doc, pos, n), found, strict=True)]
         return pa.Table.from_batches([_batch(list(_rows(1, got[0].astype(np.int64), [got[1].astype(np.int32), got[2].astype(np.int32)])), "g kind blob")])
 
     asked = settled.where("kind = 2").select("g", "blob")

@@ -119,6 +119,37 @@ def reader(data: bytes, pos: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [data[p : p + k + LENGTH - 1] for p, k in zip(pos.tolist(), n.tolist(), strict=True)]
 
 
+def _classes() -> list[tuple[int, int]]:
+    """Ranges of an anchor's place within its window, so that within a range the bytes before and after the anchor that
+    all its windows have are at least half of those that any has."""
+    out: list[tuple[int, int]] = []
+    for place in range(LENGTH - ANCHOR + 1):
+        kind = place.bit_length(), (LENGTH - ANCHOR - place).bit_length()
+        if out and kind == last:
+            out[-1] = out[-1][0], place
+        else:
+            out.append((place, place))
+        last = kind
+    return out
+
+
+CLASSES = _classes()
+
+
+def splitter(data: bytes, key: np.uint64, pos: int, n: int) -> list[tuple]:
+    """Parts of a segment by CLASSES; the key of a part names the anchor and the bytes beside it that its windows share."""
+    buf = np.frombuffer(data, np.uint8)
+    places = np.arange(pos + n - 1, pos + LENGTH - ANCHOR + 1)
+    anchor = int(places[np.flatnonzero(K.name(buf, places, places + ANCHOR) == key)[0]])
+    out = []
+    for low, high in CLASSES:
+        a, b = max(low, anchor - pos - n + 1), min(high, anchor - pos)
+        if a <= b:
+            name = K.name(buf, np.array([anchor - low]), np.array([anchor + LENGTH - high]), 1 + low)[0]
+            out.append((name, anchor - b, b - a + 1, data[anchor - b : anchor - a + LENGTH]))
+    return out
+
+
 def comparer(key, doc, pos, n, payloads):
     out = []
     if len(key):
@@ -208,9 +239,9 @@ def strip_substrings(docs: DataFrame) -> DataFrame:
     return _applied(docs, _strip, "doc_id long, text string")
 
 
-def _applied(docs: DataFrame, handle, schema: str) -> DataFrame:
+def _applied(docs: DataFrame, handle, schema: str, hot: int = S.HOT) -> DataFrame:
     docs, _ = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    marks = S.covered_windows(docs, cutter, reader, comparer, across=False)
+    marks = S.covered_windows(docs, cutter, reader, splitter, comparer, across=False, hot=hot)
     return S.with_marks(docs, marks, handle, S.COVERED, schema, ("doc_id",))
 
 
