@@ -151,7 +151,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """The pairs (a, b) whose texts (row, text) are linked. Every text is sent once to each center it meets; a
     center's own text goes once to each part of its members."""
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).cast("int")
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    # Stored, as other sides of joins that are sums by the join's key: so both sides are plain exchanges, and adaptive
+    # execution can split the partition of a common key.
+    counts = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "center-sizes")
     dealt = pairs.join(counts, "a").select(F.col("a").alias("center"), part.alias("part"), F.col("b").alias("member"))
     wanted = dealt.withColumn("row", F.col("member")).unionByName(dealt.select("center", "part").distinct().withColumn("member", F.lit(None).cast("bigint")).withColumn("row", F.col("center")))
     rows = wanted.join(texts, "row").select("center", "part", "member", "text")
@@ -231,7 +233,7 @@ FAMILY_PART = 512
 
 def joining(split: DataFrame, texts: DataFrame, size: int, percent: int, coordinates: int) -> DataFrame:
     """Links that join components among the members of split(bucket, row, component), buckets of several components."""
-    heads = split.groupBy("bucket").agg(F.min("row").alias("a"))
+    heads = stored(split.groupBy("bucket").agg(F.min("row").alias("a")), "split-heads")
     met = stored(split.join(heads, "bucket").where("a != row").select("a", F.col("row").alias("b")).distinct(), "met")
     # A member stands for its smallest head from here on, so that few different links are left to spread labels along.
     firsts = stored(met.groupBy("b").agg(F.min("a").alias("first")), "firsts")
@@ -240,7 +242,7 @@ def joining(split: DataFrame, texts: DataFrame, size: int, percent: int, coordin
     heard = split.select("row").distinct().join(firsts.withColumnRenamed("b", "row"), "row", "left").select("row", F.coalesce("first", "row").alias("id"))
     families = heard.join(linked_components(short), "id", "left").select("row", F.coalesce("component", "id").alias("family"))
     own = stored(split.select("row", "component").distinct().join(families, "row"), "families")
-    parts = own.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_PART).cast("int").alias("k"))
+    parts = stored(own.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_PART).cast("int").alias("k")), "family-parts")
     own = own.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
     cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cells = cells.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "row", "component")
@@ -265,7 +267,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     texts = docs.join(classes.select(F.col("id").alias("row")), "row").select("row", "text")
     banded = docs.mapInArrow(_bands(size, bands, band), "row long, bands array<long>").select("row", F.explode("bands").alias("bucket")).distinct()
     buckets = stored(banded.join(classes.select(F.col("id").alias("row"), F.col("n_shingles").alias("n")), "row"), "buckets")
-    heads = buckets.groupBy("bucket").agg(F.min(F.struct("row", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    heads = stored(buckets.groupBy("bucket").agg(F.min(F.struct("row", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
     met = stored(buckets.join(heads, "bucket").select("bucket", "row", "n", "head", "members"), "met")
     fits = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
     star = stored(met.where("row != head.row").select(F.col("head.row").alias("a"), F.col("row").alias("b"), "n", F.col("head.n").alias("m")).where(fits).select("a", "b").distinct(), "star")
@@ -273,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     nodes = classes.select("id")
     labels = stored(components(nodes, links), "components")
     placed = met.select("bucket", "row").join(labels.withColumnRenamed("id", "row"), "row")
-    several = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("bucket")
+    several = stored(placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("bucket"), "several")
     split = stored(placed.join(several, "bucket").select("bucket", "row", "component"), "split")
     links = links.unionByName(stored(joining(split, texts, size, percent, bands * band), "joining-links"))
     labels = components(nodes, links).withColumnRenamed("id", "class_id")
