@@ -59,8 +59,10 @@ def known(postings: DataFrame, terms: DataFrame) -> DataFrame:
 def _plan(test: DataFrame, postings: DataFrame, terms: DataFrame) -> DataFrame:
     """test(phrase_id, phrase) -> (phrase_id, n, off, term_id, rarity): rarity 1 is the phrase's rarest term; terms
     that the index lacks have null frequency, and their phrases are left out."""
-    frequency = postings.where("term_id >= 0").groupBy("term_id").agg(F.count(F.lit(1)).alias("freq"))
-    listed = test.select("phrase_id", F.size("phrase").alias("n"), F.posexplode("phrase").alias("off", "term")).join(terms, "term").join(frequency, "term_id", "left")
+    # Numbers and frequencies of the test set's terms are small next to its phrases, where a common term has many rows.
+    frequency = stored(postings.where("term_id >= 0").groupBy("term_id").agg(F.count(F.lit(1)).alias("freq")), "term-counts")
+    listed = test.select("phrase_id", F.size("phrase").alias("n"), F.posexplode("phrase").alias("off", "term"))
+    listed = listed.join(broadcast_if_small(terms), "term").join(broadcast_if_small(frequency), "term_id", "left")
     by = Window.partitionBy("phrase_id")
     listed = listed.withColumn("lacking", F.max(F.col("freq").isNull().cast("int")).over(by)).where("lacking = 0")
     return listed.withColumn("rarity", F.row_number().over(by.orderBy("freq", "term_id", "off"))).select("phrase_id", "n", "off", "term_id", "rarity")
