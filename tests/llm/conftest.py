@@ -8,8 +8,8 @@ def docs(spark):
     """Rows (doc_id, text[, source[, lang]]) as documents, with columns whose names could clash with internal ones."""
 
     def make(rows, parts=3):
-        full = [(r[0], r[1], r[3] if len(r) > 3 else "en", r[2] if len(r) > 2 else "s", len(r[1]) if r[1] is not None else None, "a", 1, "b") for r in rows]
-        return spark.createDataFrame(full, DOC + ", kind string, g long, bucket string").repartition(parts)
+        full = [(r[0], r[1], r[3] if len(r) > 3 else "en", r[2] if len(r) > 2 else "s", len(r[1]) if r[1] is not None else None, "a", 1, "b", "c", 2.0, "d", "e", 3) for r in rows]
+        return spark.createDataFrame(full, DOC + ", kind string, g long, bucket string, range string, mark double, good string, key string, row int").repartition(parts)
 
     return make
 
