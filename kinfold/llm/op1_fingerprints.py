@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from kinfold.llm._base import partitions, table, text_or_empty
 
 NAME = "op1_fingerprints"
-ORACLE_SQL = None
 PIECE = 64
 #: Ranges of the id for each shuffle partition, so that the ranges spread evenly.
 RANGES = 4
@@ -134,3 +133,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )
+
+
+#: Sections and paragraphs are parted at a control code that is set after line ends.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first(t) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nx FROM d),
+e AS (SELECT *, length(t) AS n, substr(t, 1, length(t) - length(t) // 2) || substr(nx, 1, length(t) // 2) AS ed FROM o),
+v AS (SELECT DISTINCT x FROM (SELECT t AS x FROM e UNION ALL SELECT ed FROM e)),
+s AS (SELECT x, list_transform(string_split(regexp_replace(x, '(\n\n+)', '\1' || chr(30), 'g'), chr(30)),
+  lambda c: list_transform(string_split(regexp_replace(c, '(\n+)', '\1' || chr(30), 'g'), chr(30)),
+  lambda p: list_transform(regexp_extract_all(p, '[^.!?\n]{1,64}[.!?\n]*|[.!?\n]+'), lambda l: sha256(l)))) AS tree FROM v),
+g AS (SELECT x, tree, list_transform(tree, lambda c: sha256(array_to_string(list_transform(c, lambda p: sha256(array_to_string(p, ''))), ''))) AS digests FROM s),
+f AS (SELECT x, sha256(array_to_string(digests, '')) || '/' || array_to_string(list_transform(tree,
+    lambda c, i: substr(digests[i], 1, 16) || ':' || array_to_string(list_transform(c, lambda p: array_to_string(list_transform(p, lambda l: substr(l, 1, 8)), '')), ',')), ';') AS fp,
+  list_distinct(list_transform(flatten(flatten(tree)), lambda l: substr(l, 1, 8))) AS leaves FROM g)
+SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.ed) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+  CASE WHEN a.fp = b.fp THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, b.leaves)) / greatest(len(a.leaves) + len(b.leaves), 1) END AS near_edited,
+  CASE WHEN a.fp = c.fp THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, c.leaves)) / greatest(len(a.leaves) + len(c.leaves), 1) END AS near_next
+FROM e JOIN f a ON a.x = e.t JOIN f b ON b.x = e.ed JOIN f c ON c.x = e.nx
+"""

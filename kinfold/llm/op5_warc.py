@@ -41,7 +41,6 @@ from pyspark.sql import functions as F
 from kinfold.llm._base import fresh_path, numbered, partitions, stored, table
 
 NAME = "op5_warc"
-ORACLE_SQL = None  # SQL has no base32
 ROLL_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 _PARSED = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
@@ -236,3 +235,15 @@ def read_warc(spark: SparkSession, manifest: str, payload: bool = False) -> Data
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return read_warc(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 from the digest's bits, five at a time.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits,
+  min(page_id) OVER (PARTITION BY h, n) AS first FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda k: substr(bits, i * 5 + k + 1, 1)::INT * (16 >> k)))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""

@@ -32,7 +32,6 @@ from kinfold.llm import _segments as S
 from kinfold.llm._base import numbered, table
 
 NAME = "op8_substrings"
-ORACLE_SQL = None
 LENGTH = 100
 ANCHOR = 32
 SEPARATOR = 255  # no byte of UTF-8
@@ -247,3 +246,21 @@ def _applied(docs: DataFrame, handle, schema: str, hot: int = S.HOT) -> DataFram
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _applied(table(spark, sf_dir, "documents"), _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Bytes are pairs of hex digits here.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 99)) AS i, x FROM d WHERE length(x) >= 200),
+h AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS m FROM w),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS k FROM h) WHERE k > 1),
+g AS (SELECT doc_id, i, i - 100 - max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM c),
+s AS (SELECT doc_id, i, sum((gap IS NULL OR gap > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY 1, 2),
+k AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM r UNION ALL SELECT doc_id, -1, 0, min(a) FROM r GROUP BY 1),
+t AS (SELECT doc_id, string_agg(substr(x, 2 * b + 1, 2 * (coalesce(next, length(x) // 2) - b)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1),
+n AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM r GROUP BY 1)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
