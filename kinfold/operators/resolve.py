@@ -112,10 +112,12 @@ def hard_delete(records: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
 def simple_decisions(members: DataFrame, action: str) -> DataFrame:
     """The same decision for every group: keep its first record, merge all, or flag; other actions decide nothing."""
-    per = members.groupBy("group_id").agg(F.array_sort(F.collect_list("record_id")).alias("ids"))
-    selected = {"keep": F.slice("ids", 1, 1), "merge": F.col("ids"), "flag": F.slice("ids", 1, 0)}.get(action.lower())
-    out = per.select(F.col("group_id").alias("seq"), "group_id", F.lit(action.upper()).alias("action"), (selected if selected is not None else F.col("ids")).alias("selected"), F.lit("").alias("notes"))
-    return out if selected is not None else out.limit(0)
+    none = F.array().cast(f"array<{members.schema['record_id'].dataType.simpleString()}>")
+    # Only a merge needs the whole list of a group.
+    wanted = {"keep": F.array(F.min("record_id")), "merge": F.array_sort(F.collect_list("record_id")), "flag": F.first(none)}.get(action.lower())
+    per = members.groupBy("group_id").agg((wanted if wanted is not None else F.first(none)).alias("selected"))
+    out = per.select(F.col("group_id").alias("seq"), "group_id", F.lit(action.upper()).alias("action"), "selected", F.lit("").alias("notes"))
+    return out if wanted is not None else out.limit(0)
 
 
 def clean(records: DataFrame, id_col: str, members: DataFrame, chosen: DataFrame) -> DataFrame:
