@@ -2,12 +2,12 @@
 
 Two generative models over hashed features (words, and byte n-grams, which see spelling, markup and case) are counted
 over all documents: the target model over those labelled good, the raw model over every document. A document's
-importance weight is the log ratio of its probability under the two, the sum over its features; a sample without
-replacement in proportion to the weights takes the k greatest of weight + Gumbel noise (seeded by doc_id). k is the
-number of documents whose weight is above a cut: the one that leaves the fewest labelled documents on the wrong side, in
-the middle of the gap between the weights next to it. There a good document has the weight it would have without its own
-label, as the others have. With `length`, weights are those of a document of so many features of the same kind (the mean
-times `length`), so that long documents are not told apart by their length.
+importance weight is the log ratio of its probability under the two, the sum over its features, normalised for its
+length: that of a document of the mean number of features that has the same mix of them (normalise=False leaves the sum
+as it is). A sample without replacement in proportion to the weights takes the k greatest of weight + Gumbel noise
+(seeded by doc_id). k is the number of documents whose weight is above a cut: the one that leaves the fewest labelled
+documents on the wrong side, in the middle of the gap between the weights next to it. There a good document has the
+weight it would have without its own label, as the others have.
 
 The counts are vectors of fixed size, summed by blocks of buckets; the k-th greatest key is found by counting ever finer
 bins of the keys, so neither is any list sent to the driver nor anything sorted as a whole; ties at the cut go by doc_id.
@@ -178,7 +178,7 @@ def kth_greatest(keys: DataFrame, k: int, column: str, bins: int = 4096) -> tupl
             return value, left - sum(v > value for v in values)
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, length: float | None = None, row: str | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, normalise: bool = True, row: str | None = None) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality[, toxic]) -> doc_id, log_weight, gumbel, kept; a row per document.
     row: a column of docs with whole numbers that the result keeps, as `row`."""
     good = F.col("quality") == 1
@@ -189,6 +189,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int
     # Small tables of labels go to every task; larger ones meet the documents in a shuffle.
     joined = docs.join(broadcast_if_small(marks, 1_000_000), "doc_id", "left")
     counts = bucket_counts(joined, buckets)
+    length = counts[1].sum() / max(docs.count(), 1) if normalise else None
     weights = joined.select("doc_id", "text", "good", "row").mapInArrow(_weigh(counts, buckets, length), "doc_id long, log_weight double, good boolean, fair double, row long")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = weights.withColumn("gumbel", -F.log(-F.log(uniform))).withColumn("key", F.col("log_weight") + F.col("gumbel"))
