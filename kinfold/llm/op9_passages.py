@@ -38,7 +38,7 @@ WINDOW = 13
 #: Rounds after that of words. A window of 13 words holds few interior symbols of higher levels.
 ROUNDS = 2
 #: Bytes of text of one chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Bits of a run's length beside its symbol's number. Longer runs are in no window.
 RUN_BITS = 16
 _FAR = 1 << 40
