@@ -296,11 +296,13 @@ def covered_windows(docs: DataFrame, cutter: Callable, reader: Callable, splitte
         cut = []
         for i, (doc, key, many, pos, n) in enumerate(found):
             if len(key):
-                data, many = (texts[i].as_py() or "").encode(), many.astype(bool)
-                plain = zip(np.flatnonzero(~many).tolist(), reader(data, pos[~many], n[~many]), strict=True)
-                rows += [(shard(key[j]), key[j : j + 1].tobytes(), int(doc[j]), int(pos[j]), int(n[j]), payload) for j, payload in plain]
-                for j in np.flatnonzero(many).tolist():
-                    cut += [(k, int(doc[j]), p, m, payload) for k, p, m, payload in splitter(data, key[j], int(pos[j]), int(n[j]))]
+                data, raw, own = (texts[i].as_py() or "").encode(), key.tobytes(), int(doc[0])
+                to, common = ((key >> np.uint64(33)) % np.uint64(count)).tolist(), many.tolist()
+                for j, (p, m, payload) in enumerate(zip(pos.tolist(), n.tolist(), reader(data, pos, n), strict=True)):
+                    if common[j]:
+                        cut += [(k, own, *part) for k, *part in splitter(data, key[j], p, m)]
+                    else:
+                        rows.append((to[j], raw[8 * j : 8 * j + 8], own, p, m, payload))
         if cut:  # equal parts are settled here; one that repeats another goes on without its bytes, by any shard
             buf, end = np.frombuffer(b"".join(c[4] for c in cut), np.uint8), np.cumsum([len(c[4]) for c in cut])
             content = K.name(buf, np.concatenate([[0], end[:-1]]), end)

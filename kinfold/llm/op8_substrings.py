@@ -108,10 +108,14 @@ def equal_windows(text: np.ndarray, length: int) -> np.ndarray:
 def cutter(buf: np.ndarray, offsets: np.ndarray):
     if len(buf) < LENGTH:
         return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
-    doc, start, n, place = S.anchored(K.names_of_length(buf, ANCHOR), offsets, LENGTH - ANCHOR + 1, LENGTH)
-    key = K.name(buf, place, place + ANCHOR)
-    content = K.name(buf, start, start + n + LENGTH - 1, (place - start).astype(np.uint64))
-    return key, content, doc, start - offsets[doc], n
+    names = K.names_of_length(buf, ANCHOR)
+    doc, start, n, place = S.anchored(names, offsets, LENGTH - ANCHOR + 1, LENGTH)
+    size = n + LENGTH - 1
+    content = K.mix((place - start).astype(np.uint64) * K.BASE + size.astype(np.uint64))
+    # Names of ANCHOR bytes at places that cover a segment, which has 2 * LENGTH - ANCHOR bytes at most.
+    for at in (0, ANCHOR, 2 * ANCHOR, np.minimum(3 * ANCHOR, size - ANCHOR), size - 2 * ANCHOR, size - ANCHOR):
+        content = K.mix((content ^ names[start + at]) * K.BASE)
+    return names[place], content, doc, start - offsets[doc], n
 
 
 def reader(data: bytes, pos: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -138,8 +142,8 @@ CLASSES = _classes()
 def splitter(data: bytes, key: np.uint64, pos: int, n: int) -> list[tuple]:
     """Parts of a segment by CLASSES; the key of a part names the anchor and the bytes beside it that its windows share."""
     buf = np.frombuffer(data, np.uint8)
-    places = np.arange(pos + n - 1, pos + LENGTH - ANCHOR + 1)
-    anchor = int(places[np.flatnonzero(K.name(buf, places, places + ANCHOR) == key)[0]])
+    names = K.names_of_length(buf[pos + n - 1 : pos + LENGTH], ANCHOR)
+    anchor = pos + n - 1 + int(np.flatnonzero(names == key)[0])
     out = []
     for low, high in CLASSES:
         a, b = max(low, anchor - pos - n + 1), min(high, anchor - pos)
