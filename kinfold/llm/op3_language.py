@@ -53,9 +53,10 @@ _NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunico
 
 def tokens(text: str) -> list[str]:
     """Runs of letters (Unicode categories L), in lower case."""
-    if not text.isascii():
-        text = _NUMBERS.sub(" ", text)
-    return _WORD.findall(text.lower())
+    found = _WORD.findall(text.lower())
+    if found and not text.isascii() and not "".join(found).replace("'", "").replace("’", "").isalpha():
+        found = _WORD.findall(_NUMBERS.sub(" ", text).lower())
+    return found
 
 
 def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
