@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.llm import _kernel as K
+from kinfold.llm import _segments as S
 from kinfold.llm import (
     op1_fingerprints,
     op2_decontamination,
@@ -281,6 +282,48 @@ def test_equal_windows():
         assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
 
 
+def asked_segments(texts):
+    """Records for which the exchange of segments asks the text, of documents numbered in order."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["row", "text"])
+    sent = pa.Table.from_batches(list(S._cut(op8_substrings.cutter, 1, False)([batch])))
+    settled = S._settle(False, S.HOT)(sent)
+    return sum(len(S.unpack(r["blob"], *S.ASKED)[0]) for r in settled.to_pylist() if r["kind"] == 2)
+
+
+def test_segments_asked():
+    """Anchors that texts share by chance, without a window, ask for nothing: their number grows with the square of the input."""
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for shared, wanted in ((40, 0), (60, 0), (100, 50), (130, 50)):
+        phrase = noise(shared)
+        got = asked_segments([noise(300) + phrase + noise(300) for _ in range(50)])
+        assert got == 0 if not wanted else got >= wanted
+
+
+def test_rows_of_marks():
+    """Every shard may send a row to every group of documents, so there are as many groups whatever the table."""
+    doc = np.arange(400_000)
+    rows = list(S._rows(1, doc, [np.zeros(len(doc), np.int32), np.ones(len(doc), np.int32)]))
+    assert len(rows) <= 4096
+    assert sorted(x for _, _, blob in rows for x in S.unpack(blob, *S.COVERED)[0].tolist()) == doc.tolist()
+
+
+def test_splitter_in_bulk(monkeypatch):
+    """Segments of common keys are cut many at a time; their time is not spent on each."""
+    calls = []
+    monkeypatch.setattr(K, "names_of_length", lambda buf, k, f=K.names_of_length: calls.append(1) or f(buf, k))
+    line, texts = text(40, 900)[:150].encode(), [text(30, 2000 + i).encode() for i in range(200)]
+    data = [t + line + t[::-1] for t in texts]
+    key, _, _, doc, pos, n = op8_substrings.cutter(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    calls.clear()
+    payloads = [data[d][p : p + m + 99] for d, p, m in zip(doc.tolist(), pos.tolist(), n.tolist(), strict=True)]
+    which, _, at, many, _, parts = op8_substrings.splitter(payloads, key, pos, n)
+    assert len(calls) == 1
+    windows = sorted((w, p + i) for w, p, m in zip(which.tolist(), at.tolist(), many.tolist(), strict=True) for i in range(m))
+    assert windows == [(j, p + i) for j, (p, m) in enumerate(zip(pos.tolist(), n.tolist(), strict=True)) for i in range(m)]
+    assert all(data[doc[w]][p : p + m + 99] == x for w, p, m, x in zip(which, at, many, parts, strict=True))
+
+
 def brute_passages(rows, n=13):
     first, split = {}, {d: (t or "").encode().split() for d, t in rows}
     for d in sorted(split):
