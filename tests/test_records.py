@@ -289,6 +289,23 @@ def test_metrics(spark):
     assert none["precision"] == 0 and none["f1"] == 0
 
 
+def test_metric_pairs(spark):
+    """Pairs in cells, of records in several groups and of repeated memberships; none is gathered to be told apart."""
+    rng = random.Random(7)
+    rows = [(0, i) for i in range(40)] + [(rng.randint(1, 9), rng.randint(20, 90)) for _ in range(150)] + [(0, 3), (None, 1), (None, 2), (1, None)]
+    df = spark.createDataFrame(rows, "group_id long, record_id long")
+    groups = {}
+    for g, r in rows:
+        if g is not None and r is not None:
+            groups.setdefault(g, set()).add(r)
+    want = sorted({p for m in groups.values() for p in itertools.combinations(sorted(m), 2)})
+    for part in (7, 1000):
+        assert sorted((r["a"], r["b"]) for r in metrics.pairs(df, part).collect()) == want
+    assert metrics.pairs(df.limit(0)).count() == 0
+    once = metrics.pairs(df.where("group_id = 0"), 7)
+    assert once.select(F.spark_partition_id()).distinct().count() > 1  # the cells of one group are tasks of their own
+
+
 def test_stream(spark, tmp_path):
     from kinfold.streaming.exact import deduplicated
 
