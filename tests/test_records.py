@@ -306,6 +306,28 @@ def test_metric_pairs(spark):
     assert once.select(F.spark_partition_id()).distinct().count() > 1  # the cells of one group are tasks of their own
 
 
+def test_metric_confusion_of_memberships(spark, monkeypatch):
+    """Memberships give what their pairs give, and no pair is made unless a record is in several groups."""
+    rng = random.Random(3)
+    make = lambda rows: spark.createDataFrame(rows, "group_id long, record_id long")
+    one, two = ([(rng.randint(1, 8), r) for r in rng.sample(range(80), 60)] for _ in range(2))
+    dirty = [*one, one[0], (None, 5), (3, None), (3, None)]
+    several = [*two, (9, two[0][1]), (9, two[1][1]), (9, two[2][1])]
+    cases = [(one, two), (dirty, two), (one, several), (several, dirty), ([], two), ([], [])]
+    listed = [metrics.confusion(metrics.pairs(make(x)), metrics.pairs(make(y)), 80).first() for x, y in cases]
+    assert [metrics.confusion(make(x), make(y), 80).first() for x, y in cases] == listed
+    assert metrics.confusion(make(one), metrics.pairs(make(two)), 80).first() == listed[0]
+    # More pairs than a double tells apart.
+    assert metrics.confusion(make(one), make(two), 2_000_000_001).first()["true_negatives"] == 2_000_000_001 * 1_000_000_000 - sum(listed[0][:3])
+    with pytest.raises(Exception, match="several groups"):
+        metrics.confusion_by_group(make(one), make(several), 80).first()
+    monkeypatch.setattr(metrics, "pairs", None)
+    for x, y in (cases[0], cases[1], cases[4]):
+        assert metrics.confusion(make(x), make(y), 80).first() == listed[cases.index((x, y))]
+    assert metrics.precision_recall(make(one), make(one), 80).first()[:] == (1.0, 1.0, 1.0)
+    assert metrics.run_test("self", lambda: make(one), make(one), 80)["true_positives"] == listed[0]["true_positives"] + listed[0]["false_positives"]
+
+
 def test_stream(spark, tmp_path):
     from kinfold.streaming.exact import deduplicated
 
