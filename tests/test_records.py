@@ -119,6 +119,20 @@ def test_fuzzy_brute_force(spark, algorithm):
         assert {(r["a"], r["b"]) for r in small} == set(links) and len(small) == len(links)
 
 
+def test_fuzzy_order_of_work(spark):
+    """Keys are normalized once, whatever they are asked for afterwards; pairs are scored only if their bounds allow it."""
+    df = spark.createDataFrame([(i, f"Blue ring {i % 50}!") for i in range(200)], "id long, name string")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    blocks = fuzzy.blocked(fuzzy.keys(df, "id", ["name"]), 10)
+    assert "regexp" not in plan(blocks) and blocks.count() == 200
+    links = fuzzy.pairs(fuzzy.classes(blocks), "levenshtein", 90.0)
+    condition = next(line for line in plan(links).splitlines() if "Join Inner" in line and "levenshtein" in line)
+    assert condition.index("bit_count") < condition.index("levenshtein")
+    keys = {i: f"blue ring {i}" for i in range(50)}
+    want = {(a, b) for a, b in itertools.combinations(keys, 2) if len(keys[a]) // 10 == len(keys[b]) // 10 and sum(x != y for x, y in zip(keys[a], keys[b], strict=False)) + abs(len(keys[a]) - len(keys[b])) <= 1}
+    assert {(r["a"], r["b"]) for r in links.collect()} >= want and links.count() == links.select("a", "b").distinct().count()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     df = spark.createDataFrame(chain, "a long, b long")
