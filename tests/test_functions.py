@@ -84,3 +84,19 @@ def test_kernel_in_engine(spark):
     df = spark.createDataFrame([(x, y) for x in words for y in words], "x string, y string")
     for r in df.select("x", "y", S.SCORERS["ratio"](F.col("x"), F.col("y")).alias("a"), S.ratio_sql(F.col("x"), F.col("y")).alias("b")).collect():
         assert abs(r["a"] - r["b"]) < 1e-9, r
+
+
+def test_typed_columns(spark):
+    """Dates, timestamps and whole numbers are keys without patterns or regular expressions, and as their texts are."""
+    rows = [("1998-02-06 00:00:00", 5), ("0001-01-01 23:59:59", -7), ("9999-12-31 12:00:00", 0), (None, None)]
+    df = spark.createDataFrame(rows, "t string, n long")
+    for kind in ("date", "timestamp", "timestamp_ntz"):
+        typed = df.select("t", F.col("t").cast(kind).alias("v")).select(N.date(F.col("v")).alias("got"), N.date(F.col("t")).alias("want"))
+        assert all(r["got"] == r["want"] for r in typed.collect())
+    for kind in ("tinyint", "smallint", "int", "bigint"):
+        typed = df.select(N.numeric(F.col("n").cast(kind)).alias("got"), N.numeric(F.col("n").cast("string")).alias("want"))
+        assert [r["got"] for r in typed.collect()] == [r["want"] for r in typed.collect()] == ["5", "-7", "0", ""]
+    parts = df.select(F.lit("2024-03-01 10:00:00.25").cast("timestamp_ntz").alias("v")).select(N.date(F.col("v")).alias("got"))
+    assert {r["got"] for r in parts.collect()} == {"2024-03-01"}  # a fraction of a second is no reason for no date
+    plan = df.select(N.date(F.col("t").cast("timestamp_ntz")).alias("d"), N.numeric(F.col("n")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "rlike" not in plan.lower() and "yyyy" not in plan
